@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -55,6 +55,11 @@ def release(df: DataFrame) -> None:
     _delete(df.sparkSession, df._scratch_path)  # type: ignore[attr-defined]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once for each row. The optimizer merges projections and would otherwise compute a column again for each element of a lambda that mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds. Null ids fall in fold 0."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -80,6 +85,18 @@ def filter_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id", b
     return docs.join(F.broadcast(ids) if is_at_most(ids, bound) else ids, key, how)
 
 
+def keep_rows(docs: DataFrame, keep: Callable[[], Callable[[list[str | None]], list[bool]]], rows: int = 128) -> DataFrame:
+    """Rows of docs whose text passes. keep() is called once for each task and gives the function of a list of texts. No shuffle; columns stay as they are."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = keep()
+        for b in slices(batches, rows):
+            yield b.filter(pa.array(passes(b.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def texts_of(docs: DataFrame, ids: list, extra: list[str] = ()) -> list:
     """Rows (doc_id, text, ...) of a bounded list of ids, one row for each id: the smallest text if it repeats."""
     spark = docs.sparkSession

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import filter_ids, is_at_most, materialise
+from .common import filter_ids, is_at_most, let, materialise
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -26,21 +26,23 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(lowered(text), F.lit(_WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _windows(ws: Column, n: int) -> Column:
+def _windows(ws: Column, n) -> Column:
     """Start places (from 1) of all windows of n words."""
-    return F.when(F.size(ws) >= n, F.sequence(F.lit(1), F.size(ws) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(ws) >= n, F.sequence(F.lit(1), F.size(ws) - n + 1)).otherwise(F.array().cast("array<int>"))
 
 
 def item_windows(items: DataFrame, n: int = 8) -> DataFrame:
     """(window, n, hash, items) of every distinct window: n words, or all words of shorter items. Null ids and wordless items give none."""
-    ws = items.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    one = ws.select("item", "w", F.least(F.lit(n), F.size("w")).alias("n"))
-    each = one.select("item", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.slice("w", i, F.col("n")))).alias("w"))
-    return each.select(F.array_join("w", " ").alias("window"), "n", F.xxhash64(F.transform("w", lambda x: F.xxhash64(x))).alias("hash"), "item").groupBy("window", "n", "hash").agg(F.collect_set("item").alias("items"))
+    def of(w: Column) -> Column:
+        m = F.least(F.lit(n), F.size(w))
+        return F.transform(F.when(F.size(w) > 0, _windows(w, m)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.array_join(F.slice(w, i, m), " ").alias("window"), m.alias("n"), F.xxhash64(F.transform(F.slice(w, i, m), lambda x: F.xxhash64(x))).alias("hash")))
 
+    each = items.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item"), F.explode(let(words(F.col("text")), of)).alias("x"))
+    return each.select("x.*", "item").groupBy("window", "n", "hash").agg(F.collect_set("item").alias("items"))
 
-def hits(docs: DataFrame, items: DataFrame, keep: list[str], n: int = 8, bound: int = 200_000) -> DataFrame:
-    """keep columns, rid, n_words and hits (array of struct(at, n, window)) of every row; hits agree in hash, not yet in words.
+
+def hits(docs: DataFrame, items: DataFrame, keep: list[str], n: int = 8, bound: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """(keep columns, rid, n_words, hits (array of struct(at, n, window)) of every row; the items' windows). Hits agree in hash, not yet in words.
 
     rid numbers the rows, so that repeated rows and null ids stay apart.
     """
@@ -51,18 +53,20 @@ def hits(docs: DataFrame, items: DataFrame, keep: list[str], n: int = 8, bound:
     if small:
         for r in known.select("n", "hash").distinct().collect():
             marks[r.n].append(r.hash)
-    base = docs.select(*keep, F.monotonically_increasing_id().alias("rid"), words(F.col("text")).alias("w"))
-    base = base.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
 
-    def of(m: int) -> Column:
-        at = _windows(F.col("w"), m)
+    def of(w: Column, h: Column, m: int) -> Column:
+        at = _windows(w, m)
         if small:
-            at = F.filter(at, lambda i: F.xxhash64(F.slice("h", i, m)).isin(marks[m]))
-        return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(m).alias("n"), F.array_join(F.slice("w", i, m), " ").alias("window")))
+            at = F.filter(at, lambda i: F.xxhash64(F.slice(h, i, m)).isin(marks[m]))
+        return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(m).alias("n"), F.array_join(F.slice(w, i, m), " ").alias("window")))
+
+    def row(w: Column, h: Column) -> Column:
+        none = F.array().cast("array<struct<at:int,n:int,window:string>>")
+        found = F.concat(*[of(w, h, m) for m in sorted(lengths)]) if lengths else none
+        return F.struct(F.size(w).cast("long").alias("n_words"), found.alias("hits"))
 
-    none = F.array().cast("array<struct<at:int,n:int,window:string>>")
-    found = F.concat(*[of(m) for m in sorted(lengths)]) if lengths else none
-    out = base.select(*keep, "rid", F.size("w").cast("long").alias("n_words"), found.alias("hits"))
+    found = let(words(F.col("text")), lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: row(w, h)))
+    out = docs.select(*keep, F.monotonically_increasing_id().alias("rid"), found.alias("_f")).select(*keep, "rid", "_f.n_words", "_f.hits")
     return out, (F.broadcast(known) if small else known)
 
 
@@ -88,12 +92,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 8, bound: int = 20
 def without_spans(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
     """docs joined with (doc_id, spans) on doc_id, the words of all spans and what stands between them cut from text."""
     tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+
+    def mend(t: Column, lead: Column) -> Column:
+        # word k (from 1) is token lead + 2k - 1; a span of n words from word k covers 2n - 1 tokens
+        gone = F.flatten(F.transform("spans", lambda s: F.sequence(lead + 2 * s["at"] - 1, lead + 2 * (s["at"] + s["n"] - 1) - 1)))
+        left = F.array_except(F.sequence(F.lit(1), F.size(t)), gone)
+        return F.array_join(F.transform(left, lambda i: F.element_at(t, i)), "")
+
     lead = F.when(F.col(text).rlike(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), 1).otherwise(0)
-    cut = docs.join(spans, "doc_id").withColumn("_t", tokens).withColumn("_lead", lead)
-    # word k (from 1) is token lead + 2k - 1; a span of n words from word k covers 2n - 1 tokens
-    gone = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(F.col("_lead") + 2 * s["at"] - 1, F.col("_lead") + 2 * (s["at"] + s["n"] - 1) - 1))))
-    left = F.array_except(F.sequence(F.lit(1), F.size("_t")), gone)
-    return cut.withColumn(text, F.array_join(F.transform(left, lambda i: F.element_at("_t", i)), "")).drop("spans", "_t", "_lead")
+    return docs.join(spans, "doc_id").withColumn(text, let(tokens, lambda t: let(lead, lambda k: mend(t, k)))).drop("spans")
 
 
 def clean(docs: DataFrame, items: DataFrame, n: int = 8, bound: int = 200_000, least_items: int = 2) -> DataFrame:

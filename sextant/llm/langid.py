@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import fold, slices, texts_of
+from .common import fold, keep_rows, slices, texts_of
 
 UNKNOWN = "und"
 _NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -133,27 +133,35 @@ def train(texts: list[str], langs: list[str], dim: int = 1024, epochs: int = 8)
     return Profiles(names, best.astype(np.float32), float(6 / max(gap, 1e-3)))
 
 
+def identify(texts: list[str | None], profiles: Profiles) -> tuple[list[str], np.ndarray]:
+    pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    if len(profiles.langs) and len(texts):
+        cos = bundle(texts, profiles.prototypes.shape[1]) @ profiles.prototypes.T
+        e = np.exp(profiles.sharpness * (cos - cos.max(1, keepdims=True)).astype(np.float64))
+        best, share = cos.argmax(1), (e / e.sum(1, keepdims=True)).max(1)
+        for i, t in enumerate(texts):
+            if has_letter(t):
+                pred[i], score[i] = profiles.langs[best[i]], share[i]
+    return pred, score
+
+
 def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """(doc_id, lang_pred, score) of every row from its whole text alone.
 
     score is the softmax share of the winning cosine. Null texts and texts without a letter get `und` and 0. Ties go
     to the language first in alphabet. Repeated rows each get their result; other columns are ignored.
     """
-    dim = profiles.prototypes.shape[1]
-    model = docs.sparkSession.sparkContext.broadcast((profiles.langs, profiles.prototypes, profiles.sharpness))
+    model = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, prototypes, sharpness = model.value
         for b in slices(batches, 128):
-            texts = b.column(1).to_pylist()
-            pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            if langs:
-                cos = bundle(texts, dim) @ prototypes.T
-                e = np.exp(sharpness * (cos - cos.max(1, keepdims=True)).astype(np.float64))
-                best, share = cos.argmax(1), (e / e.sum(1, keepdims=True)).max(1)
-                for i, t in enumerate(texts):
-                    if has_letter(t):
-                        pred[i], score[i] = langs[best[i]], share[i]
+            pred, score = identify(b.column(1).to_pylist(), model.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, profiles: Profiles) -> DataFrame:
+    """Rows of docs whose language can be told: those of null texts and of texts without a letter go."""
+    model = docs.sparkSession.sparkContext.broadcast(profiles)
+    return keep_rows(docs, lambda: lambda texts: [p != UNKNOWN for p in identify(texts, model.value)[0]])

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, release, slices
+from .common import filter_ids, materialise, release, slices
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _BLOCK = 1 << 16
@@ -227,3 +227,19 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, run_limit:
 
 def as_hex(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+def deduplicate(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+    """docs with one document of each near-duplicate group: that of the smallest doc_id.
+
+    Rows that repeat a doc_id are one document, of which the row with the smallest text stays. Rows with a null doc_id
+    can't be told apart and all stay.
+    """
+    groups = materialise(near_duplicates(docs.filter("doc_id is not null"), words, radius))
+    gone = materialise(groups.filter("doc_id <> component_id").select("doc_id").distinct())
+    again = materialise(groups.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    kept = filter_ids(docs, gone, "left_anti").select(*docs.columns)
+    if again.limit(1).count():
+        one = filter_ids(kept, again, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in docs.columns if c != "doc_id"]), F.coalesce("text", F.lit(""))).alias("_r"))
+        kept = filter_ids(kept, again, "left_anti").select(*docs.columns).unionByName(one.select("doc_id", "_r.*"))
+    return kept

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fold, slices, texts_of
+from .common import fold, keep_rows, slices, texts_of
 
 _WORD = re.compile(r"[^\W\d_]+")
 _PARTS = 4
@@ -305,3 +305,15 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
+    """Rows of docs with a score under 0.5. Without a model all rows stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep():
+        m = shared.value
+        reader = Reader(len(m.emb)) if m else None
+        return lambda texts: [True] * len(texts) if m is None else (probabilities(texts, m, reader) < 0.5).tolist()
+
+    return keep_rows(docs, keep, 64)
