@@ -59,47 +59,81 @@ def _lifted(x: np.ndarray, top: float, rotate: np.ndarray) -> np.ndarray:
 
 
 def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products of one query with rows of x in double precision, added in the order of the dimensions."""
+    """Inner products of rows of q and x in double precision, added in the order of the dimensions."""
     s = np.zeros(len(x))
     for j in range(x.shape[1]):
-        s += q[j] * x[:, j]
+        s += q[:, j].astype(np.float64) * x[:, j]
     return s
 
 
-def scan(q: np.ndarray, own: int, lifted_q: np.ndarray, ids: np.ndarray, x: np.ndarray, columns: np.ndarray, norms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the best k of a list for one query; columns is the list's rotated vectors, dimensions first, norms their squares.
-
-    The first candidates set the bound; the rest are scanned block by block of dimensions.
+def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each query number, larger scores first, ties to smaller ids."""
+    order = np.lexsort((ids, -score, query))
+    q = query[order]
+    start = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+    rank = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
+    return order[rank < k]
+
+
+def probes_for(lifted: np.ndarray, flat: np.ndarray, rotate: np.ndarray, centroids: np.ndarray, k: int, target: float) -> int:
+    """Lists to read for a mean share `target` of the k nearest, measured with queries out of the sample (where neighbours are further, so rather too many)."""
+    lists = len(centroids)
+    asks = np.arange(0, len(flat), max(1, len(flat) // 256))
+    q = np.concatenate([flat[asks], np.zeros((len(asks), 1), np.float32)], 1) @ rotate
+    far = (lifted**2).sum(1) - 2 * q @ lifted.T
+    far[np.arange(len(asks)), asks] = np.inf
+    m = min(k, len(flat) - 1)
+    if m < 1 or lists == 1:
+        return lists
+    near = np.argpartition(far, m - 1, axis=1)[:, :m]
+    order = np.argsort((centroids**2).sum(1) - 2 * q @ centroids.T, axis=1)
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(lists)[None, :].repeat(len(asks), 0), axis=1)
+    need = np.sort(np.take_along_axis(rank, _assign(lifted, centroids)[near], axis=1).ravel())
+    return int(need[min(len(need) - 1, int(np.ceil(target * len(need))))]) + 1
+
+
+def scan(q: np.ndarray, columns: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (query, vector) of a list that may be among the k nearest, all queries at once.
+
+    q has a rotated query in each row; columns the list's rotated vectors, dimensions first; bound a squared distance
+    for each query that its k nearest can't exceed, tightened by the first candidates. Blocks of dimensions are added
+    for all pairs while many are alive, and pair by pair once few are.
     """
     dim, n = columns.shape
-    first = min(n, max(4 * k, 64))
-    near = norms[:first] - 2 * (lifted_q @ columns[:, :first])  # squared distance less the query's own norm
-    kth = np.partition(near, min(k, first - 1))[min(k, first - 1)] + float(lifted_q @ lifted_q)
-    kept = np.arange(first)
-    if first < n:
-        alive, part = np.arange(first, n), np.zeros(n - first, np.float32)
-        for d in range(0, dim, _STEP):
-            e = min(d + _STEP, dim)
-            part += ((columns[d:e, alive] - lifted_q[d:e, None]) ** 2).sum(0)
-            ok = part <= kth * (e / dim) * (1 + _EPS / np.sqrt(e)) ** 2 if e < dim else part <= kth * 1.00001
-            alive, part = alive[ok], part[ok]
-            if not len(alive):
-                break
-        kept = np.concatenate([kept, alive])
-    kept = kept[ids[kept] != own]
-    score = _exact(q, x[kept])
-    order = np.lexsort((ids[kept], -score))[: k + 1]
-    return ids[kept][order], score[order]
-
-
-def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", list_rows: int = 256, max_lists: int = 1024, probe_share: float = 0.25, least_probes: int = 16, sample: int = 16_384, part_rows: int = 8192, part_queries: int = 2048) -> DataFrame:
+    first = min(n, 4 * k)
+    if first > k:
+        near = (q**2).sum(1)[:, None] + (columns[:, :first] ** 2).sum(0) - 2 * q @ columns[:, :first]
+        bound = np.minimum(bound, np.partition(near, k, axis=1)[:, k] * 1.00001 + 1e-6)
+    part = np.zeros((len(q), n), np.float32)
+    pairs = None
+    for d in range(0, dim, _STEP):
+        e = min(d + _STEP, dim)
+        slack = (e / dim) * (1 + _EPS / np.sqrt(e)) ** 2 if e < dim else 1.00001
+        if pairs is None:
+            a, b = q[:, d:e], columns[d:e]
+            part += (a**2).sum(1)[:, None] + (b**2).sum(0) - 2 * a @ b
+            alive = part <= (bound * slack + 1e-6)[:, None]
+            if alive.sum() < 0.15 * alive.size or e == dim:
+                pairs = np.nonzero(alive)
+                rest = part[pairs]
+        else:
+            i, j = pairs
+            rest = rest + ((columns[d:e, j] - q[i, d:e].T) ** 2).sum(0)
+            ok = rest <= bound[i] * slack + 1e-6
+            pairs, rest = (i[ok], j[ok]), rest[ok]
+    return pairs
+
+
+def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", list_rows: int = 1024, max_lists: int = 1024, target: float = 0.97, sample: int = 16_384, part_rows: int = 8192, part_queries: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row that `queries` holds for, its k nearest others found.
 
     Every usable row of the most common dimension is indexed (see usable; of equally common dimensions, the smallest).
-    The sample, by hash of the id, only fits the centroids. Ties in score go to the smaller id. Rows that repeat an id
-    count once, with their best score; queries that repeat an id search with their largest vector. Fewer than k
-    candidates are all returned if every list is probed, which holds for small tables. Null ids take no part. An empty
-    table gives no rows.
+    A sample of at most `sample` rows, by hash of the id, fits the centroids, the number of lists to read for the recall
+    `target`, and a bound on each query's k-th distance (the sample's own k nearest are candidates too, so k are always
+    returned where there are as many). Ties in score go to the smaller id. Rows that repeat an id count once, with their
+    best score; queries that repeat an id search with their largest vector. Null ids take no part. An empty table gives
+    no rows.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -110,61 +144,82 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
         return spark.createDataFrame([], schema)
     dim, n, top = dims.d, dims.n, dims.top
     v = v.filter(F.size("v") == dim)
-    fit = np.array([r.v for r in v.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()], np.float32)
+    rows = v.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "v").collect()
+    fit_ids, fit = np.array([r.id for r in rows], np.int64), np.array([r.v for r in rows], np.float32)
     rotate = rotation(dim + 1)
+    lifted_fit = _lifted(fit, top, rotate)
     lists = int(np.clip(n // list_rows, 1, min(max_lists, max(1, len(fit) // 16))))
-    centroids = _kmeans(_lifted(fit, top, rotate), lists)
-    probes = lists if lists <= least_probes else max(least_probes, int(np.ceil(lists * probe_share)))
-    model = spark.sparkContext.broadcast((rotate, centroids, top))
+    centroids = _kmeans(lifted_fit, lists)
+    probes = probes_for(lifted_fit, fit, rotate, centroids, k, target)
+    model = spark.sparkContext.broadcast((rotate, centroids, top, fit_ids, fit))
+
+    def vectors_of(column) -> np.ndarray:
+        return np.array(column.flatten(), np.float32).reshape(-1, dim)
 
     def assign(batches):
-        rotate, centroids, top = model.value
+        rotate, centroids, top = model.value[:3]
         for b in slices(batches, 4096):
-            x = np.array(b.column(1).flatten(), np.float32).reshape(-1, dim)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_assign(_lifted(x, top, rotate), centroids), pa.int32()), b.column(1), b.column(2)], ["id", "list", "v", "asks"])
-
-    def probe(batches):
-        rotate, centroids, _ = model.value
-        for b in slices(batches, 1024):
-            x = np.array(b.column(1).flatten(), np.float32).reshape(-1, dim)
+            near = _assign(_lifted(vectors_of(b.column(1)), top, rotate), centroids)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near, pa.int32()), b.column(1), b.column(2)], ["id", "list", "v", "asks"])
+
+    def probe(batches):  # the lists to read, and the sample's k nearest with the bound they give
+        rotate, centroids, top, fit_ids, fit = model.value
+        lifted_fit = _lifted(fit, top, rotate)
+        own_norm = (lifted_fit**2).sum(1)
+        for b in slices(batches, 512):
+            ids, x = b.column(0).to_numpy(), vectors_of(b.column(1))
             q = np.concatenate([x, np.zeros((len(x), 1), np.float32)], 1) @ rotate
             far = (centroids**2).sum(1) - 2 * q @ centroids.T
             near = np.argpartition(far, probes - 1, axis=1)[:, :probes] if probes < len(centroids) else np.tile(np.arange(len(centroids)), (len(x), 1))
-            at = np.repeat(np.arange(len(x)), probes)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(near.ravel(), pa.int32()), b.column(1).take(pa.array(at))], ["id", "list", "v"])
-
+            d = own_norm - 2 * q @ lifted_fit.T + (q**2).sum(1)[:, None]
+            d[ids[:, None] == fit_ids[None, :]] = np.inf
+            m = min(k, d.shape[1])
+            at = np.argpartition(d, m - 1, axis=1)[:, :m]
+            worst = np.take_along_axis(d, at, axis=1).max(1)
+            bound = np.where(np.isfinite(worst) & (m == k), worst * 1.00001 + 1e-6, np.inf).astype(np.float32)
+            i = np.repeat(np.arange(len(x)), m)
+            j = at.ravel()
+            ok = fit_ids[j] != ids[i]
+            i, j = i[ok], j[ok]
+            score = _exact(x[i], fit[j])
+            to = pa.array(np.repeat(np.arange(len(x)), near.shape[1]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(to), pa.array(near.ravel(), pa.int32()), b.column(1).take(to), pa.array(bound).take(to), pa.nulls(len(to), pa.int64()), pa.nulls(len(to), pa.float64())], names)
+            empty = pa.array([[]], b.column(1).type).take(pa.array(np.zeros(len(i), np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(np.full(len(i), -1), pa.int32()), empty, pa.array(bound[i]), pa.array(fit_ids[j]), pa.array(score)], names)
+
+    names = ["id", "list", "v", "bound", "vec_id", "score"]
     placed = materialise(v.mapInArrow(assign, "id long, list int, v array<float>, asks boolean"))
     asked = placed.filter("asks").groupBy("id").agg(F.max("v").alias("v"))
-    wanted = asked.mapInArrow(probe, "id long, list int, v array<float>")
+    probed = materialise(asked.mapInArrow(probe, "id long, list int, v array<float>, bound float, vec_id long, score double"))
     # counts of at most max_lists lists: how many parts each list's vectors and queries are cut into
     rows_of = {r.list: r.n for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    share = min(1.0, probes / lists)
-    asking = asked.count()
-    parts = spark.createDataFrame([(i, -(-m // part_rows), max(1, -(-int(asking * max(share, m / n)) // part_queries))) for i, m in sorted(rows_of.items())], "list int, nv int, nq int")
+    asks_of = {r.list: r.n for r in probed.filter("list >= 0").groupBy("list").agg(F.count("*").alias("n")).collect()}
+    parts = spark.createDataFrame([(i, -(-m // part_rows), -(-asks_of.get(i, 1) // part_queries)) for i, m in sorted(rows_of.items())], "list int, nv int, nq int")
     left = placed.join(F.broadcast(parts), "list").select("list", F.pmod(F.xxhash64("id"), "nv").cast("int").alias("pv"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("pq"), "id", "v")
-    right = wanted.join(F.broadcast(parts), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)).alias("pv"), F.pmod(F.xxhash64("id"), "nq").cast("int").alias("pq"), "id", "v")
+    right = probed.join(F.broadcast(parts), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)).alias("pv"), F.pmod(F.xxhash64("id"), "nq").cast("int").alias("pq"), "id", "v", "bound")
 
     def match(vs: pa.Table, qs: pa.Table) -> pa.Table:
-        rotate, _, top = model.value
-        out: tuple[list, list, list] = ([], [], [])
+        rotate, _, top = model.value[:3]
+        out: list[list] = [[], [], []]
         if vs.num_rows and qs.num_rows:
-            ids, x = vs["id"].to_numpy(), np.array(vs["v"].combine_chunks().flatten(), np.float32).reshape(-1, dim)
-            order = np.lexsort((np.arange(len(ids)), ids))
-            ids, x = ids[order], x[order]
-            rows = np.ascontiguousarray(_lifted(x, top, rotate).T)
-            norms, x64 = (rows.astype(np.float64) ** 2).sum(0).astype(np.float32), x.astype(np.float64)
-            q = np.array(qs["v"].combine_chunks().flatten(), np.float32).reshape(-1, dim)
-            lifted = np.concatenate([q, np.zeros((len(q), 1), np.float32)], 1) @ rotate
-            for i, own in enumerate(qs["id"].to_numpy()):
-                found, score = scan(q[i].astype(np.float64), own, lifted[i], ids, x64, rows, norms, k)
-                out[0].append(np.full(len(found), own))
-                out[1].append(found)
-                out[2].append(score)
+            ids, x = vs["id"].to_numpy(), vectors_of(vs["v"].combine_chunks())
+            columns = np.ascontiguousarray(_lifted(x, top, rotate).T)
+            own, asks, bound = qs["id"].to_numpy(), vectors_of(qs["v"].combine_chunks()), qs["bound"].to_numpy()
+            for at in range(0, len(own), 128):
+                o, y = own[at : at + 128], asks[at : at + 128]
+                i, j = scan(np.concatenate([y, np.zeros((len(y), 1), np.float32)], 1) @ rotate, columns, bound[at : at + 128], k)
+                other = o[i] != ids[j]
+                i, j = i[other], j[other]
+                score = _exact(y[i], x[j])
+                best = _best(i, ids[j], score, 2 * k)
+                for c, a in zip(out, (o[i][best], ids[j][best], score[best])):
+                    c.append(a)
         a, b, c = (np.concatenate(o) if o else np.zeros(0) for o in out)
         return pa.table({"query_id": pa.array(a.astype(np.int64)), "vec_id": pa.array(b.astype(np.int64)), "score": pa.array(c.astype(np.float64))})
 
     key = ["list", "pv", "pq"]
     pairs = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(match, "query_id long, vec_id long, score double")
-    best = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    every = pairs.union(probed.filter("list < 0").select("id", "vec_id", "score"))
+    best = every.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", order.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
