@@ -22,67 +22,109 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import slices
 
-_CACHE_PIECES = 500_000
+_CACHE_WORDS = 1_500_000
 #: For texts of these characters alone, Python's classes equal the tokenizer's, and normalisation only lowers case.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e ¡-±´-¸º»¿-įı-ž‐-‧‰-⁞]*")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """Public byte-level BPE alphabet: printable bytes stand for themselves, the others for code points from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = (b for b in range(256) if b not in shown)
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTES = _byte_alphabet()
+
+
+class _Numbers(dict):
+    """Numbers strings in the order they are first asked for; fresh lists those since it was last emptied."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        n = self[word] = len(self)
+        return n
+
+
 class Encoder:
-    """ids of texts by a word-level BPE tokenizer file, remembering those of pre-tokens.
+    """ids of texts by a word-level BPE tokenizer file, remembering those of words.
 
-    Only for tokenizers whose pre-tokens are encoded one by one (checked on use by tests against the library); texts
-    beyond the plain characters, or with the text of a special token, go through the library whole.
+    Words between white space are looked up; new ones are cut into pre-tokens, and new pre-tokens go to the library.
+    Texts beyond the plain characters, or with the text of a special token, go through the library whole. Only for
+    tokenizers whose pre-tokens are those of _SPLIT (tests compare whole texts with the library).
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _learn(self, pieces: list[str]) -> None:
-        for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            ids, n = e.ids, len(self.number)
-            if n == len(self.starts):
-                self.starts, self.lengths = np.resize(self.starts, 2 * n), np.resize(self.lengths, 2 * n)
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat) + len(ids))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[n], self.lengths[n] = self.used, len(ids)
-            self.used += len(ids)
-            self.number[piece] = n
+        self.number = _Numbers()
+        self.flat, self.used = np.zeros(1 << 20, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32), 0
+        self.starts, self.lengths = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
+
+    def _model_ids(self, piece: str) -> list[int]:
+        """ids of one pre-token by the model itself, its bytes written as the byte-level alphabet."""
+        return [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES))]
+
+    def _store(self, n: int, ids) -> None:
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(ids), self.flat.dtype)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[n], self.lengths[n] = self.used, len(ids)
+        self.used += len(ids)
+
+    def _learn(self) -> None:
+        """Store the ids of all fresh words."""
+        number, fresh = self.number, self.number.fresh
+        single, several, at = [], [], 0
+        while at < len(fresh):  # the list grows by pre-tokens that are new themselves
+            word = fresh[at]
+            at += 1
+            pieces = [word] if word.isascii() and word.isalpha() else _SPLIT.findall(word)
+            if len(pieces) == 1:
+                single.append(word)
+            else:
+                several.append((number[word], [number[p] for p in pieces]))
+        while len(number) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        for word in single:
+            self._store(number[word], self._model_ids(word))
+        for n, parts in several:
+            self._store(n, np.concatenate([self.flat[self.starts[p] : self.starts[p] + self.lengths[p]] for p in parts]))
+        fresh.clear()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.number) > _CACHE_PIECES:
+        if len(self.number) > _CACHE_WORDS:
             self.forget()
-        split: list[list[str] | None] = []
+        found: list[np.ndarray | None] = []
+        look = self.number.__getitem__
         for t in texts:
-            plain = _PLAIN.fullmatch(t or "") and not any(s in (t or "") for s in self.special)
-            split.append(_SPLIT.findall((t or "").lower()) if plain else None)
-        new: dict[str, None] = {}
-        for words in split:
-            if words:
-                for w in set(words):
-                    if w not in self.number:
-                        new[w] = None
-        self._learn(list(new))
+            t = t or ""
+            if _PLAIN.fullmatch(t) and not any(s in t for s in self.special):
+                words = t.lower().split()
+                found.append(np.fromiter(map(look, words), np.int64, len(words)))
+            else:
+                found.append(None)
+        if self.number.fresh:
+            self._learn()
         out = []
-        for t, words in zip(texts, split):
-            if words is None:
+        for t, at in zip(texts, found):
+            if at is None:
                 out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
                 continue
-            at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
             n = self.lengths[at]
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.arange(total) + np.repeat(self.starts[at] - ends + n, n)])
+            out.append(self.flat[np.arange(total) + np.repeat(self.starts[at] - ends + n, n)].astype(np.uint32))
         return out
 
 
@@ -188,6 +230,13 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def encoder_of(path: str) -> Encoder:
+    """The worker process's encoder: its words stay known from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, limit: int = 4096, segments: int = 256, loss: int | None = None) -> DataFrame:
     """One row for each piece: its document, span, checksum, sequence and offset there.
 
@@ -198,7 +247,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, limit: int = 4096, se
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, Encoder(tokenizer))
+        encoder = encoder_of(tokenizer)
         packer = _KeepingPacker(limit, segments, loss, first=TaskContext.get().partitionId() << 36)
 
         def flush():
