@@ -1,6 +1,489 @@
-"""Registered queries of the reference's operators, with their SQL."""
+"""Registered queries of the reference's operators, with their SQL. Names follow the survey's catalogue."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window, functions as F
+
+from ..config import Config
+from ..functions.text import is_blank, py_strip, split_lines, tokenize
+from ..functions.vectors import cosine_distance, l2_normalize, norm
+from ..operators import chunking, retrieval, summary, windows
+from ..session import configure
+from ..sources import readers
+from . import pipeline, views
+from .views import SQL_BUCKETS, SQL_MD, SQL_NORMAL, SQL_SAMPLES, SQL_WINDOWS, table
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of (spark, sf_dir) under its name."""
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(configure(spark), sf_dir)
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+_TOKENS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
+_STRIP = r"regexp_replace(regexp_replace({0}, '^[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+', ''), '[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+$', '')"
+_BLANK = _STRIP + " = ''"
+
+
+# --- sources and text ---
+
+
+@query("SELECT doc_id, 'doc_' || doc_id::VARCHAR AS source, 'txt' AS type, length(text)::BIGINT AS n FROM documents WHERE NOT (" + _BLANK.format("text") + ")")
+def scan_documents(spark, sf):
+    d = table(spark, sf, "documents").filter(~is_blank(F.col("text")))
+    return d.select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source"), F.lit("txt").alias("type"), F.length("text").cast("bigint").alias("n"))
+
+
+@query("SELECT 'q' || item_id::VARCHAR AS q_id, substr(text, 1, 120) AS question, 'doc_' || item_id::VARCHAR AS gold_doc FROM benchmark")
+def questions_scan(spark, sf):
+    return table(spark, sf, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("q_id"), F.substring("text", 1, 120).alias("question"), F.concat(F.lit("doc_"), F.col("item_id").cast("string")).alias("gold_doc"))
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def select_by_id_list(spark, sf):
+    ids = table(spark, sf, "labels").filter("quality = 1").select("doc_id")
+    return readers.select_by_ids(table(spark, sf, "documents").select("doc_id", "lang", "source"), ids, "doc_id")
+
+
+@query("SELECT DISTINCT doc_id FROM (SELECT doc_id * 2 AS doc_id FROM labels) WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def missing_ids(spark, sf):
+    ids = table(spark, sf, "labels").select((F.col("doc_id") * 2).alias("doc_id"))
+    return readers.missing_ids(table(spark, sf, "documents").select("doc_id"), ids, "doc_id")
+
+
+@query(f"SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents WHERE text IS NOT NULL)")
+def tokenize_documents(spark, sf):
+    d = table(spark, sf, "documents").filter("text is not null").select("doc_id", F.explode(F.array(tokenize(F.col("text")))).alias("t"))
+    return d.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.size(F.array_distinct("t")).cast("bigint").alias("n_distinct"))
+
+
+QUERIES["tokenize"], ORACLES["tokenize"] = QUERIES.pop("tokenize_documents"), ORACLES.pop("tokenize_documents")
+
+
+# --- chunking ---
+
+_SIMPLE = "SELECT doc_id, (s // 448)::INT AS chunk_index, s::INT AS chunk_start, least(s + 512, length(text))::INT AS chunk_end, substr(text, s + 1, 512) AS chunk_text FROM (SELECT doc_id, text, unnest(range(0, length(text)::BIGINT, 448)) AS s FROM documents WHERE text IS NOT NULL)"
+_SIMPLE_KEPT = f"simple AS (SELECT * FROM ({_SIMPLE}) WHERE NOT ({_BLANK.format('chunk_text')}))"
+
+
+@query(f"WITH {_SIMPLE_KEPT} SELECT * FROM simple")
+def chunk_simple(spark, sf):
+    return chunking.chunk(table(spark, sf, "documents"), ["doc_id"], "simple")
+
+
+@query(f"WITH {_SIMPLE_KEPT} SELECT count(*)::BIGINT AS chunks, sum(length(chunk_text))::BIGINT AS chars, max(chunk_index)::INT AS last_index FROM simple")
+def chunk_simple_stats(spark, sf):
+    c = chunking.simple(table(spark, sf, "documents"), ["doc_id"])
+    return c.agg(F.count("*").alias("chunks"), F.sum(F.length("chunk_text")).alias("chars"), F.max("chunk_index").alias("last_index"))
+
+
+@query(f"WITH {_SIMPLE_KEPT} SELECT doc_id, chunk_index, (row_number() OVER (ORDER BY doc_id, chunk_index) - 1)::VARCHAR AS chunk_id FROM simple")
+def chunk_ids(spark, sf):
+    c = chunking.simple(table(spark, sf, "documents"), ["doc_id"]).select("doc_id", "chunk_index")
+    return chunking.with_ids(c, ["doc_id", "chunk_index"]).select("doc_id", "chunk_index", "chunk_id")
+
+
+_T = r"\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}"
+_LINES = rf"""{SQL_MD}, raw AS (SELECT doc_id, text, regexp_extract_all(text, '[^{_T}]*(?:\r\n|[{_T}])|[^{_T}]+') AS ls FROM md WHERE text IS NOT NULL),
+split AS (SELECT doc_id, text, unnest(ls) AS line, unnest(generate_series(1, len(ls)::BIGINT)) AS i FROM raw),
+lines AS (SELECT doc_id, i, line, (sum(length(line)) OVER (PARTITION BY doc_id ORDER BY i) - length(line))::INT AS line_start, rtrim(line, chr(10) || chr(13)) AS bare FROM split),
+heads AS (SELECT doc_id, line_start AS s, (line_start + length(line))::INT AS e, length(regexp_extract(bare, '^(#+)', 1))::INT AS hashes, trim(regexp_extract(bare, '^#{{1,6}}\s+((?s:.*))', 1), ' ') AS title FROM lines WHERE regexp_matches(bare, '^#{{1,6}}\s+'))""".replace("{{", "{").replace("}}", "}")
+_BLOCKS = _LINES + """, edges AS (SELECT doc_id, e AS s, hashes, title, lead(s) OVER (PARTITION BY doc_id ORDER BY s) AS nxt FROM heads
+ UNION ALL SELECT md.doc_id, 0, 0, '', (SELECT min(h.s) FROM heads h WHERE h.doc_id = md.doc_id) FROM md WHERE text IS NOT NULL),
+blocks AS (SELECT x.doc_id, x.s::INT AS block_start, coalesce(x.nxt, length(md.text))::INT AS block_end, hashes::INT AS hashes, title AS block_title, substr(md.text, x.s + 1, coalesce(x.nxt, length(md.text)) - x.s) AS block_text FROM edges x JOIN md USING (doc_id)),
+kept AS (SELECT *, CASE WHEN hashes = 0 THEN 'text' WHEN hashes = 1 THEN 'title' WHEN hashes < 6 THEN 'heading' WHEN block_title LIKE 'Lemma%' THEN 'lemma' WHEN block_title LIKE '(Proof%' THEN 'proof' WHEN block_title LIKE 'Remarks%' THEN 'remark' WHEN block_title LIKE 'Contents%' THEN 'contents' ELSE 'special' END AS block_type
+ FROM blocks WHERE NOT (""" + _BLANK.format("block_text") + "))"
+
+
+@query(f"WITH {_LINES} SELECT doc_id, (i - 1)::INT AS line_no, line_start, length(line)::INT AS line_length FROM lines")
+def md_lines(spark, sf):
+    d = views.markdown(spark, sf).filter("text is not null").select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("line_no", "line"))
+    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    n = d.select("doc_id", "line_no", F.length("line").alias("line_length"))
+    return n.select("doc_id", "line_no", F.coalesce(F.sum("line_length").over(before), F.lit(0)).cast("int").alias("line_start"), "line_length")
+
+
+@query(f"WITH {_LINES} SELECT doc_id, s AS heading_start, e AS heading_end, hashes, title FROM heads")
+def md_headings(spark, sf):
+    d = views.markdown(spark, sf).select("doc_id", F.explode(chunking.headings(F.col("text"))).alias("h"))
+    rx = chunking.RX_HEADING
+    return d.select("doc_id", F.col("h.start").alias("heading_start"), F.col("h.stop").alias("heading_end"), F.length(F.regexp_extract("h.line", rx, 1)).alias("hashes"), py_strip(F.regexp_extract("h.line", rx, 2)).alias("title"))
+
+
+@query("SELECT doc_id, source AS doc_title FROM documents WHERE text IS NOT NULL")
+def md_doc_title(spark, sf):
+    return views.markdown(spark, sf).filter("text is not null").select("doc_id", chunking.document_title(F.col("text")).alias("doc_title"))
+
+
+def _blocks(spark, sf) -> DataFrame:
+    return views.markdown(spark, sf).select("doc_id", F.explode(chunking.blocks(F.col("text"))).alias("b"))
+
+
+@query(f"WITH {_BLOCKS} SELECT doc_id, block_start, block_end, hashes, block_title, block_text FROM kept")
+def md_blocks(spark, sf):
+    return _blocks(spark, sf).select("doc_id", F.col("b.start").alias("block_start"), F.col("b.stop").alias("block_end"), "b.hashes", F.col("b.title").alias("block_title"), F.col("b.text").alias("block_text"))
+
+
+@query(f"WITH {_BLOCKS} SELECT block_type, count(*)::BIGINT AS n FROM kept GROUP BY ALL")
+def md_block_types(spark, sf):
+    return _blocks(spark, sf).select(chunking.block_type(F.col("b.hashes"), F.col("b.title")).alias("block_type")).groupBy("block_type").agg(F.count("*").alias("n"))
+
+
+_STRUCT = _BLOCKS + """, pieces AS (SELECT *, unnest(range(0, CASE WHEN length(block_text) <= 512 THEN 1 ELSE 1 + ceil((length(block_text) - 512) / 480.0)::BIGINT END)) * 480 AS o FROM kept),
+cut AS (SELECT doc_id, block_title, block_type, (block_start + o)::INT AS chunk_start, (block_start + least(o + 512, length(block_text)))::INT AS chunk_end, substr(block_text, o + 1, 512) AS chunk_text FROM pieces),
+struct_chunks AS (SELECT c.*, d.source AS doc_title, (row_number() OVER (PARTITION BY doc_id ORDER BY chunk_start) - 1)::INT AS chunk_index FROM cut c JOIN (SELECT doc_id, source FROM documents) d USING (doc_id) WHERE NOT (""" + _BLANK.format("chunk_text") + "))"
+
+
+def _structured(spark, sf) -> DataFrame:
+    return chunking.chunk(views.markdown(spark, sf), ["doc_id"], "structure", size=512, overlap=32)
+
+
+@query(f"WITH {_STRUCT} SELECT doc_id, chunk_index, chunk_start, chunk_end, chunk_text, doc_title, block_title, block_type FROM struct_chunks")
+def chunk_structure(spark, sf):
+    return _structured(spark, sf)
+
+
+@query(f"WITH {_STRUCT} SELECT doc_id, chunk_index, block_type FROM struct_chunks WHERE block_type NOT IN ('title', 'contents', 'index', 'doi', 'pacs', 'msc', 'acknowledgments') AND chunk_end - chunk_start >= 20")
+def filter_metadata(spark, sf):
+    return retrieval.filter_metadata(_structured(spark, sf)).select("doc_id", "chunk_index", "block_type")
+
+
+@query(f"WITH {_STRUCT} SELECT doc_id, chunk_index, '[document] ' || doc_title || chr(10) || '[section] ' || block_title || chr(10) || '[kind] ' || block_type || chr(10) || '[text]' || chr(10) || chunk_text AS context FROM struct_chunks")
+def context_header(spark, sf):
+    return retrieval.context_header(_structured(spark, sf), "chunk_text").select("doc_id", "chunk_index", "context")
+
+
+# --- vectors and retrieval ---
+
+_SQ = "sqrt(list_sum(list_transform({0}, lambda x: x::DOUBLE * x::DOUBLE)))"
+_NEAR = f"""v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, {_SQ.format('embedding')} AS n FROM embeddings WHERE embedding IS NOT NULL),
+pairs AS (SELECT q.vec_id AS q_id, i.vec_id AS chunk_id, round(greatest(0.0, 1 - list_inner_product(q.e, i.e) / (q.n * i.n)), 6) AS dist FROM v q, v i WHERE q.vec_id % 50 = 0 AND q.n > 0 AND i.n > 0),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, chunk_id) AS rank FROM pairs) WHERE rank <= 20)"""
+
+
+def _index(spark, sf) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+
+
+def _asked(spark, sf) -> DataFrame:
+    """The stated question set: vectors whose id is divisible by 50."""
+    return table(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vec"))
+
+
+@query(f"WITH {_NEAR} SELECT q_id, chunk_id, dist, rank::INT AS rank FROM near")
+def vector_topk(spark, sf):
+    return retrieval.topk(_index(spark, sf), _asked(spark, sf))
+
+
+@query()
+def vector_topk_lsh(spark, sf):
+    return retrieval.topk_lsh(_index(spark, sf), _asked(spark, sf))
+
+
+@query(f"WITH {_NEAR} SELECT q_id, chunk_id, dist, rank::INT AS rank FROM near WHERE dist <= 0.6")
+def filter_threshold(spark, sf):
+    return retrieval.filter_threshold(retrieval.topk(_index(spark, sf), _asked(spark, sf)), 0.6)
+
+
+@query(f"SELECT vec_id, round(list_sum(list_transform(u, lambda x: x * x)), 6) AS length, round(u[1], 6) AS first FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / {_SQ.format('embedding')}) AS u FROM embeddings)")
+def l2_norm(spark, sf):
+    u = table(spark, sf, "embeddings").select("vec_id", l2_normalize(F.col("embedding")).alias("u"))
+    return u.select("vec_id", F.round(norm(F.col("u")) * norm(F.col("u")), 6).alias("length"), F.round(F.element_at("u", 1), 6).alias("first"))
+
+
+QUERIES["l2_normalize"], ORACLES["l2_normalize"] = QUERIES.pop("l2_norm"), ORACLES.pop("l2_norm")
+
+
+@query(f"WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, {_SQ.format('embedding')} AS n FROM embeddings) SELECT a.vec_id, b.vec_id AS other, round(1 - round(greatest(0.0, 1 - list_inner_product(a.e, b.e) / (a.n * b.n)), 6), 6) AS similarity FROM v a JOIN v b ON b.vec_id = a.vec_id + 1")
+def pairwise_similarity(spark, sf):
+    v = table(spark, sf, "embeddings")
+    a, b = v.select("vec_id", F.col("embedding").alias("x")), v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("other"), F.col("embedding").alias("y"))
+    return a.join(b, "vec_id").select("vec_id", "other", F.round(1 - cosine_distance(F.col("x"), F.col("y")), 6).alias("similarity"))
+
+
+@query()
+def hash_embed(spark, sf):
+    return retrieval.hash_embed(table(spark, sf, "documents"), "doc_id")
+
+
+@query("SELECT count(*)::BIGINT AS n FROM embeddings")
+def index_count(spark, sf):
+    return _index(spark, sf).agg(F.count("*").alias("n"))
+
+
+@query("SELECT vec_id AS chunk_id, label FROM embeddings WHERE vec_id = 10")
+def index_point_get(spark, sf):
+    return table(spark, sf, "embeddings").filter("vec_id = 10").select(F.col("vec_id").alias("chunk_id"), "label")
+
+
+def _spans(spark, sf) -> DataFrame:
+    hits = retrieval.topk(_index(spark, sf), _asked(spark, sf)).select("*", F.col("chunk_id").alias("doc_id"), ((F.col("rank") - 1) * 40).alias("chunk_start"), (F.col("rank") * 60 - 30).alias("chunk_end"))
+    return retrieval.load_spans(hits, table(spark, sf, "documents"), "doc_id")
+
+
+_SPANS = _NEAR + ", spans AS (SELECT q_id, chunk_id, rank, " + _STRIP.format("substr(d.text, (rank - 1) * 40 + 1, rank * 20 + 10)") + " AS span_text FROM near JOIN documents d ON d.doc_id = chunk_id WHERE " + _STRIP.format("substr(d.text, (rank - 1) * 40 + 1, rank * 20 + 10)") + " <> '')"
+
+
+@query(f"WITH {_SPANS} SELECT q_id, chunk_id, rank::INT AS rank, span_text FROM spans")
+def span_load(spark, sf):
+    return _spans(spark, sf).select("q_id", "chunk_id", "rank", "span_text")
+
+
+_CANDIDATES = "cand AS (SELECT b.item_id AS q_id, substr(b.text, 1, 120) AS question, d.doc_id AS c_id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS rank0, substr(d.text, 1, 4000) AS text FROM benchmark b JOIN documents d ON d.doc_id // 20 = b.item_id WHERE d.text IS NOT NULL)"
+_BM25 = rf"""{_CANDIDATES}, tok AS (SELECT q_id, c_id, rank0, {_TOKENS.format('text')} AS t FROM cand), n AS (SELECT q_id, count(*) AS n, avg(len(t)) AS avgdl FROM tok GROUP BY 1),
+tf AS (SELECT q_id, c_id, dl, term, count(*) AS tf FROM (SELECT q_id, c_id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY ALL), df AS (SELECT q_id, term, count(*) AS df FROM tf GROUP BY ALL),
+idf0 AS (SELECT q_id, term, avgdl, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df JOIN n USING (q_id)), m AS (SELECT q_id, avg(idf) AS mi FROM idf0 GROUP BY 1),
+idf AS (SELECT q_id, term, avgdl, CASE WHEN idf < 0 THEN 0.25 * mi ELSE idf END AS idf FROM idf0 JOIN m USING (q_id)),
+ask AS (SELECT q_id, term, count(*) AS qf FROM (SELECT q_id, unnest({_TOKENS.format('question')}) AS term FROM (SELECT DISTINCT q_id, question FROM cand)) GROUP BY ALL),
+sc AS (SELECT q_id, c_id, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS s FROM tf JOIN ask USING (q_id, term) JOIN idf USING (q_id, term) GROUP BY ALL),
+scored AS (SELECT q_id, c_id, rank0, round(coalesce(s, 0.0), 6) AS score FROM tok LEFT JOIN sc USING (q_id, c_id))"""
+
+
+@query(f"WITH {_BM25} SELECT q_id, c_id, rank0::INT AS rank0, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, rank0)::INT AS rank FROM scored")
+def bm25_rerank(spark, sf):
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("q_id"), F.substring("text", 1, 120).alias("question"))
+    d = table(spark, sf, "documents").filter("text is not null").select(F.floor(F.col("doc_id") / 20).alias("q_id"), F.col("doc_id").alias("c_id"), F.substring("text", 1, 4000).alias("text"))
+    c = d.join(b, "q_id").withColumn("rank0", F.row_number().over(Window.partitionBy("q_id").orderBy("c_id")))
+    return retrieval.bm25_rerank(c)
+
+
+def _retrieved(spark, sf) -> DataFrame:
+    docs = table(spark, sf, "documents").withColumnRenamed("doc_id", "source_id").select("source_id", "text")
+    index = _index(spark, sf).withColumns({"source_id": F.col("chunk_id"), "chunk_start": F.lit(0), "chunk_end": F.lit(400)})
+    q = _asked(spark, sf).withColumn("question", F.concat(F.lit("question "), F.col("q_id").cast("string")))
+    return pipeline.retrieve(Config(), index, q, docs, "source_id")
+
+
+_RETRIEVED = _NEAR + ", ctx AS (SELECT q_id, chunk_id, dist, rank AS r0, " + _STRIP.format("substr(d.text, 1, 400)") + " AS context FROM near JOIN documents d ON d.doc_id = chunk_id), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY r0) AS rank FROM ctx WHERE context <> '') WHERE rank <= 5)"
+
+
+@query(f"WITH {_RETRIEVED} SELECT q_id, chunk_id, rank::INT AS rank, dist, context FROM top")
+def retrieve_topk(spark, sf):
+    return _retrieved(spark, sf).select("q_id", "chunk_id", "rank", "dist", "context")
+
+
+@query(f"WITH {_RETRIEVED} SELECT q_id, 'Use only this context to answer.' || chr(10) || chr(10) || string_agg(context, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Q: question ' || q_id::VARCHAR || chr(10) || 'A:' AS prompt FROM top GROUP BY q_id")
+def prompt_assembly(spark, sf):
+    return retrieval.assemble_prompt(_retrieved(spark, sf), "context").select("q_id", "prompt")
+
+
+@query()
+def answer_batch(spark, sf):
+    prompts = retrieval.assemble_prompt(_retrieved(spark, sf), "context").withColumn("q_id", F.col("q_id").cast("string"))
+    return retrieval.answer(prompts, retrieval.first_sentence)
+
+
+@query("SELECT 'q' || b.item_id::VARCHAR AS q_id, substr(b.text, 1, 120) AS question, d.lang AS answer, d.source AS gold_doc FROM benchmark b JOIN documents d ON d.doc_id = b.item_id")
+def answer_join_questions(spark, sf):
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("k"), F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("q_id"), F.substring("text", 1, 120).alias("question"))
+    a = table(spark, sf, "documents").select(F.col("doc_id").alias("k"), F.col("lang").alias("answer"), F.col("source").alias("gold_doc"))
+    return q.join(a, "k").drop("k")
+
+
+@query("SELECT doc_id, CASE WHEN coalesce(length(text), 0) > 100 THEN 1 ELSE 0 END AS score_faithfulness, 1 AS score_relevancy, CASE WHEN coalesce(length(text), 0) > 100 THEN 1 ELSE 0 END AS score_utilization FROM documents")
+def judge_gate(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.when(F.length("text") > 100, F.array("text")).alias("contexts"))
+    return summary.judge_gate(d).drop("contexts")
+
+
+# --- measurements ---
+
+
+@query(f"WITH {SQL_SAMPLES} SELECT entity, ts_us, metric, value, unit FROM samples WHERE event_id % 13 <> 5")
+def measurements_scan(spark, sf):
+    s = views.samples(spark, sf)
+    five = F.array("entity", F.col("ts_us").cast("string"), "metric", F.col("value").cast("string"), "unit")
+    raw = s.groupBy(F.col("event_id").alias("file")).agg(F.collect_list(F.when(F.col("event_id") % 13 == 5, F.slice(five, 1, 4)).otherwise(five)).alias("data"))
+    return readers.samples_of(raw)
+
+
+@query(f"WITH {SQL_SAMPLES} SELECT event_id, entity, metric, unit FROM samples WHERE (metric IN ('cpu_energy_rapl_msr_component', 'memory_energy_rapl_msr_component', 'gpu_energy_nvidia_nvml_component') AND unit = 'uJ') OR (metric = 'cpu_utilization_cgroup_container' AND unit = 'Ratio' AND entity IN ('app', 'llm')) OR (metric = 'cpu_utilization_procfs_system' AND unit = 'Ratio' AND entity = '[SYSTEM]') OR (metric = 'memory_used_cgroup_container' AND unit IN ('Bytes', 'B') AND entity IN ('app', 'llm'))")
+def measurement_filter(spark, sf):
+    return views.samples(spark, sf).filter(windows.keep_rule()).select("event_id", "entity", "metric", "unit")
+
+
+@query(f"WITH {SQL_NORMAL} SELECT * FROM normal")
+def normalize_measurements(spark, sf):
+    return windows.normalise(views.samples(spark, sf))
+
+
+@query(f"WITH {SQL_WINDOWS} SELECT * FROM windows")
+def phase_windows(spark, sf):
+    return windows.phases_to_windows(views.phases(spark))
+
+
+@query("SELECT conv_id, text FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS r FROM conversations WHERE role LIKE '%assist%') WHERE r = 1")
+def log_pick(spark, sf):
+    return readers.pick_log(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text", "assist")
+
+
+@query("SELECT user_id, lag_ts AS start_us, ts_us AS end_us FROM (SELECT *, lag(mark) OVER w AS lag_mark, lag(ts_us) OVER w AS lag_ts FROM (SELECT user_id, event_id, epoch_us(ts)::BIGINT AS ts_us, CASE event_type WHEN 'signup' THEN 'START' ELSE 'END' END AS mark FROM events WHERE event_type IN ('signup', 'purchase')) WINDOW w AS (PARTITION BY user_id ORDER BY ts_us, event_id)) WHERE mark = 'END' AND lag_mark = 'START' AND ts_us > lag_ts")
+def marker_windows(spark, sf):
+    e = table(spark, sf, "events").filter(F.col("event_type").isin("signup", "purchase"))
+    m = e.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.when(F.col("event_type") == "signup", "START").otherwise("END").alias("mark"))
+    return windows.pair_markers(m, ["user_id"], ["ts_us", "event_id"])
+
+
+def _joined(spark, sf, bucket_us=None) -> DataFrame:
+    return windows.interval_join(windows.normalise(views.samples(spark, sf)), windows.phases_to_windows(views.phases(spark)), bucket_us)
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[(F.round(c, 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+_AGG = f'WITH {SQL_BUCKETS} SELECT "window", metric, entity, round(sum_value, 6) AS sum_value, n, round(max_value, 6) AS max_value FROM buckets'
+
+
+@query(_AGG)
+def interval_join_agg(spark, sf):
+    return _rounded(windows.aggregate(_joined(spark, sf)))
+
+
+@query(_AGG)
+def interval_join_bucketed(spark, sf):
+    return _rounded(windows.aggregate(_joined(spark, sf, 6 * 3_600_000_000)))
+
+
+_STATS = 'round("sum", 6) AS "sum", round(sum_wh, 6) AS sum_wh, round(sum_mib, 6) AS sum_mib, round(mean, 6) AS mean, round(mean_mib, 6) AS mean_mib, round("max", 6) AS "max"'
+
+
+@query(f'WITH {SQL_BUCKETS} SELECT "window", metric, entity, unit, {_STATS}, "count" FROM final')
+def window_metric_final(spark, sf):
+    return _rounded(windows.finalise(windows.aggregate(_joined(spark, sf)), windows.spec_entities(spark)))
+
+
+@query(f'WITH {SQL_BUCKETS} SELECT w."window", s.metric, s.entity, s.unit, {_STATS}, coalesce("count", 0) AS "count" FROM (SELECT DISTINCT name AS "window" FROM windows) w CROSS JOIN spec s LEFT JOIN final f ON f."window" = w."window" AND f.metric = s.metric AND f.entity = s.entity')
+def window_metric_dense(spark, sf):
+    spec = windows.spec_entities(spark)
+    final = windows.finalise(windows.aggregate(_joined(spark, sf)), spec)
+    return _rounded(windows.densify(final, windows.phases_to_windows(views.phases(spark)), spec))
+
+
+@query(f"WITH {SQL_BUCKETS} SELECT (SELECT count(*) FROM samples)::BIGINT AS total_rows_seen, (SELECT count(*) FROM hits)::BIGINT AS updates_written")
+def merge_counters(spark, sf):
+    seen = views.samples(spark, sf).agg(F.count("*").alias("total_rows_seen"))
+    return seen.crossJoin(_joined(spark, sf).agg(F.count("*").alias("updates_written")))
+
+
+@query(f"WITH {SQL_NORMAL} SELECT out_entity, string_agg(entity, ',' ORDER BY entity) AS raw_entities FROM (SELECT DISTINCT out_entity, entity FROM marked WHERE out_entity IN ('DRAM_TOTAL', 'GPU_TOTAL', 'TEMP_CORE', 'TEMP_PACK', 'TEMP_IGNORED')) GROUP BY 1")
+def entity_mappings(spark, sf):
+    return windows.entity_mappings(views.samples(spark, sf)).withColumn("raw_entities", F.array_join("raw_entities", ","))
+
+
+@query(f"WITH {SQL_WINDOWS} SELECT name, sum(duration_s) AS duration_s FROM windows GROUP BY name")
+def window_durations(spark, sf):
+    return windows.phases_to_windows(views.phases(spark)).groupBy("name").agg(F.sum("duration_s").alias("duration_s"))
+
+
+@query("SELECT event_id, round(value / 1e6, 9) AS joule, round(value / 1048576.0, 9) AS mib, round(value / 100.0, 6) AS pct FROM events")
+def unit_convert(spark, sf):
+    v = F.col("value")
+    return table(spark, sf, "events").select("event_id", F.round(v / 1e6, 9).alias("joule"), F.round(v / 1048576.0, 9).alias("mib"), F.round(v / 100.0, 6).alias("pct"))
+
+
+# --- statistics across runs, and of quality ---
+
+
+def _summary_sql(source: str, keys: str, value: str = "value", digits: int | None = 2, raw: bool = False) -> str:
+    r = "round({}, 6)" if digits is None or raw else f"round(({{}})::DECIMAL(38, 11), {digits})::DOUBLE"
+    sd = "CASE WHEN count(v) = 1 THEN 0.0 ELSE stddev_samp(v) END" if raw else "stddev_samp(v)"
+    cv = f"CASE WHEN avg(v) <> 0 THEN 100 * {sd} / abs(avg(v)) END"
+    cv = cv if raw else f"nullif({cv}, 0)"
+    qs = ", ".join(f"{r.format(f'quantile_cont(v, {q})')} AS p{int(q * 100)}" for q in summary.QUANTILES)
+    head = f"{keys}, " if keys else ""
+    return f"SELECT {head}count(v)::BIGINT AS n, {r.format('avg(v)')} AS mean, {r.format(sd)} AS stdev, {r.format(cv)} AS cv_pct, {r.format('min(v)')} AS min, {r.format('max(v)')} AS max, {qs} FROM (SELECT *, {value}::DOUBLE AS v FROM {source})" + (f" GROUP BY {keys}" if keys else "")
+
+
+@query(_summary_sql("events", "event_type"))
+def metric_summary(spark, sf):
+    return summary.metric_summary(table(spark, sf, "events"), ["event_type"])
+
+
+@query(_summary_sql("lineitem", "l_returnflag, l_linestatus", "l_quantity", raw=True))
+def metric_summary_raw(spark, sf):
+    return _rounded(summary.metric_summary(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", raw=True))
+
+
+@query("SELECT l_returnflag, l_linestatus, round(sum(v), 4) AS sum_value, round(max(v), 4) AS max_value, round(sum(v * w) / sum(w), 6) AS mean_value FROM (SELECT *, l_extendedprice::DOUBLE AS v, CASE WHEN l_quantity - 5 > 0 THEN (l_quantity - 5)::DOUBLE ELSE 1.0 END AS w FROM lineitem) GROUP BY ALL")
+def weighted_mean_by_entity(spark, sf):
+    li = table(spark, sf, "lineitem").withColumn("weight", F.col("l_quantity") - 5)
+    m = summary.weighted_mean(li, ["l_returnflag", "l_linestatus"], "l_extendedprice", "weight")
+    return m.select("l_returnflag", "l_linestatus", F.round("sum_value", 4).alias("sum_value"), F.round("max_value", 4).alias("max_value"), F.round("mean_value", 6).alias("mean_value"))
+
+
+@query("SELECT l_returnflag, coalesce(l_linestatus, 'TOTAL') AS l_linestatus, round(sum(l_extendedprice::DOUBLE), 2) AS sum_value FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag))")
+def energy_total_rollup(spark, sf):
+    li = table(spark, sf, "lineitem").withColumn("v", F.col("l_extendedprice").cast("double"))
+    return summary.with_total(li, ["l_returnflag"], "l_linestatus", "v").select("l_returnflag", "l_linestatus", F.round("sum_value", 2).alias("sum_value"))
+
+
+def _scores(spark, sf) -> DataFrame:
+    """user: question; day: run."""
+    return table(spark, sf, "events").select("user_id", F.dayofmonth("ts").alias("run"), "event_type", "value")
+
+
+@query(_summary_sql("events", "user_id, event_type", digits=5))
+def quality_by_question(spark, sf):
+    return summary.metric_summary(_scores(spark, sf), ["user_id", "event_type"], digits=5)
+
+
+@query(_summary_sql("events", "event_type", digits=5))
+def quality_pooled(spark, sf):
+    return summary.metric_summary(_scores(spark, sf), ["event_type"], digits=5)
+
+
+@query(_summary_sql("(SELECT event_type, day(ts) AS run, avg(value) AS value FROM events GROUP BY ALL)", "event_type", digits=4))
+def quality_per_run_mean(spark, sf):
+    per_run = _scores(spark, sf).groupBy("event_type", "run").agg(F.avg("value").alias("value"))
+    return summary.metric_summary(per_run, ["event_type"], digits=4)
+
+
+@query(_summary_sql("(SELECT event_type, user_id, round(avg(value)::DECIMAL(38, 11), 5)::DOUBLE AS value FROM events GROUP BY ALL)", "event_type", digits=4))
+def quality_per_question_mean(spark, sf):
+    means = summary.metric_summary(_scores(spark, sf), ["user_id", "event_type"], digits=5).select("event_type", F.col("mean").alias("value"))
+    return summary.metric_summary(means, ["event_type"], digits=4)
+
+
+@query("SELECT round(avg(quality), 6) AS mean_quality, round(stddev_samp(quality), 6) AS sd_quality, round(avg(toxic), 6) AS mean_toxic, round(stddev_samp(toxic), 6) AS sd_toxic FROM labels")
+def quality_simple(spark, sf):
+    a = [(f, c) for c in ("quality", "toxic") for f in ("mean", "sd")]
+    return table(spark, sf, "labels").agg(*[F.round((F.avg if f == "mean" else F.stddev_samp)(c), 6).alias(f"{f}_{c}") for f, c in a])
+
+
+_DAILY = "daily AS (SELECT event_type, day(ts)::INT AS run, round(sum(value), 4) AS value FROM events GROUP BY ALL)"
+
+
+def _daily(spark, sf) -> DataFrame:
+    return _scores(spark, sf).groupBy("event_type", "run").agg(F.round(F.sum("value"), 4).alias("value"))
+
+
+@query(f"WITH {_DAILY} SELECT event_type, string_agg(CASE WHEN run % 7 = 0 THEN 'null' ELSE printf('%.4f', value) END, ',' ORDER BY run) AS series FROM daily GROUP BY 1")
+def run_series(spark, sf):
+    d = _daily(spark, sf).withColumn("value", F.when(F.col("run") % 7 != 0, F.col("value")))
+    s = summary.run_series(d, ["event_type"], "run", "value")
+    return s.select("event_type", F.array_join(F.transform("series", lambda x: F.when(x.isNull(), "null").otherwise(F.format_string("%.4f", x))), ",").alias("series"))
+
+
+@query(f"WITH {SQL_BUCKETS}, runs AS (SELECT DISTINCT day(ts)::INT AS run FROM events), by_run AS (SELECT name AS \"window\", metric, entity, (ts_us // 86400000000 - 19722)::INT AS run, round(sum(value), 4) AS value FROM hits GROUP BY ALL), seen AS (SELECT DISTINCT metric, entity FROM normal) SELECT w.name AS \"window\", s.metric, s.entity, r.run, b.value FROM (SELECT DISTINCT name FROM windows) w CROSS JOIN seen s CROSS JOIN runs r LEFT JOIN by_run b ON b.\"window\" = w.name AND b.metric = s.metric AND b.entity = s.entity AND b.run = r.run")
+def run_phase_series(spark, sf):
+    normal = windows.normalise(views.samples(spark, sf))
+    names = windows.phases_to_windows(views.phases(spark)).select(F.col("name").alias("window")).distinct()
+    runs = table(spark, sf, "events").select(F.dayofmonth("ts").alias("run")).distinct()
+    seen = normal.select("metric", "entity").distinct()
+    run = (F.floor(F.col("ts_us") / 86_400_000_000) - 19722).cast("int")
+    value = _joined(spark, sf).groupBy(F.col("name").alias("window"), "metric", "entity", run.alias("run")).agg(F.round(F.sum("value"), 4).alias("value"))
+    return names.crossJoin(seen).crossJoin(runs).join(value, ["window", "metric", "entity", "run"], "left")
+
+
+@query("SELECT day(ts)::INT AS run, count(*)::BIGINT AS records, count(DISTINCT user_id)::BIGINT AS questions FROM events GROUP BY 1")
+def runs_scan(spark, sf):
+    return _scores(spark, sf).groupBy("run").agg(F.count("*").alias("records"), F.countDistinct("user_id").alias("questions"))
