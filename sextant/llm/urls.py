@@ -19,7 +19,7 @@ RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/
 
 _CUTS: dict[str, tuple[float, ...]] = {
     "length": (30, 40, 50, 60, 80),
-    "depth": (1, 2, 3),
+    "depth": (1, 2, 3, 4),
     "digits": (0.02, 0.05, 0.08, 0.12, 0.2),
     "entropy": (2.5, 3.0, 3.25, 3.5, 3.75),
     "params": (1, 2),
