@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
@@ -49,7 +50,6 @@ def run_series(df: DataFrame, keys: list[str], order: str, value: str) -> DataFr
 
 def py_round(values, digits: int = 2):
     """Column of values rounded as Python does (half to even on the binary value); the other functions round half up."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def rounded(s: pd.Series) -> pd.Series:

@@ -11,6 +11,9 @@ from pyspark.sql import SparkSession
 #: mapKeyDedupPolicy: later keys of a marker win. UTC: epoch arithmetic must not depend on the host.
 DEFAULTS = {"spark.sql.mapKeyDedupPolicy": "LAST_WIN", "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true"}
 
+#: Python operators get batches of about this size, however long the texts.
+ARROW_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
 _SHIPPED: set[str] = set()
 
 
@@ -23,6 +26,7 @@ def configure(spark: SparkSession) -> SparkSession:
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors once for each application, so that Python operators can be imported there."""
+    spark.conf.set(*ARROW_BYTES)
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = Path(__file__).resolve().parent
