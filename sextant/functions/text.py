@@ -26,7 +26,8 @@ def py_strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.length(py_strip(text)) == 0
+    """Whether str.strip() would leave nothing; stops at the first other character."""
+    return ~text.rlike(r"(?U)[^\s\x1c-\x1f]")
 
 
 def split_lines(text: Column) -> Column:

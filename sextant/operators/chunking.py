@@ -12,11 +12,15 @@ def simple(docs: DataFrame, keys: list[str], text: str = "text", size: int = 512
     """keys, chunk_index, chunk_start, chunk_end, chunk_text. Blank windows are dropped but use up an index; a tail inside the window before it is kept."""
     if size < 1:
         raise ValueError("size must be positive")
-    step, n = max(1, size - overlap), F.length(text)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    cut = docs.select(*keys, text, F.posexplode(starts).alias("chunk_index", "chunk_start"))
-    out = cut.select(*keys, "chunk_index", "chunk_start", F.least(F.col("chunk_start") + size, F.length(text)).alias("chunk_end"), F.substring(text, F.col("chunk_start") + 1, F.lit(size)).alias("chunk_text"))
-    return out.filter(~is_blank(F.col("chunk_text")))
+    step = max(1, size - overlap)
+
+    def cut(t: Column) -> Column:
+        n = F.length(t)
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(i.alias("chunk_start"), F.least(i + size, n).alias("chunk_end"), F.substring(t, i + 1, F.lit(size)).alias("chunk_text")))
+
+    rows = docs.select(*keys, let(F.col(text), cut).alias("_c")).select(*keys, F.posexplode("_c").alias("chunk_index", "c"))
+    return rows.select(*keys, "chunk_index", "c.*").filter(~is_blank(F.col("chunk_text")))
 
 
 def headings(text: Column) -> Column:
@@ -83,7 +87,9 @@ def structure(docs: DataFrame, keys: list[str], text: str = "text", size: int =
         return F.transform(F.sequence(F.lit(0), last), piece)
 
     every = let(blocks(F.col(text)), lambda bs: F.filter(F.flatten(F.transform(bs, pieces)), lambda c: ~is_blank(c["chunk_text"])))
-    out = docs.select(*keys, document_title(F.col(text)).alias("doc_title"), F.posexplode(every).alias("chunk_index", "c"))
+    # the arrays come first: beside a generator, other columns would be computed for each chunk
+    rows = docs.select(*keys, document_title(F.col(text)).alias("doc_title"), every.alias("_c"))
+    out = rows.select(*keys, "doc_title", F.posexplode("_c").alias("chunk_index", "c"))
     return out.select(*keys, "chunk_index", "c.chunk_start", "c.chunk_end", "c.chunk_text", "doc_title", "c.block_title", block_type(F.col("c.hashes"), F.col("c.block_title")).alias("block_type"))
 
 
