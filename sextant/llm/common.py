@@ -66,7 +66,19 @@ def fold(doc_id: str | Column, folds: int) -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % folds, F.lit(0))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+#: What worker processes remember from task to task, by operator: how to drop it.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str) -> None:
+    """Drop what other operators remember in this worker process, so that only one holds a cache at a time."""
+    for name, clear in CACHES.items():
+        if name != owner:
+            clear()
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, owner: str = "") -> Iterator[pa.RecordBatch]:
+    claim(owner)
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)

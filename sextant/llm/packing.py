@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices
+from .common import CACHES, slices
 
-_CACHE_WORDS = 1_500_000
+_CACHE_WORDS = 700_000
 #: For texts of these characters alone, Python's classes equal the tokenizer's, and normalisation only lowers case.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e ¡-±´-¸º»¿-įı-ž‐-‧‰-⁞]*")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
@@ -228,6 +228,7 @@ class _KeepingPacker(Packer):
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ENCODERS: dict[str, Encoder] = {}
+CACHES["packing"] = _ENCODERS.clear
 
 
 def encoder_of(path: str) -> Encoder:
@@ -247,15 +248,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, limit: int = 4096, se
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer)
         packer = _KeepingPacker(limit, segments, loss, first=TaskContext.get().partitionId() << 36)
 
         def flush():
             rows, packer.done = packer.done, []
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
-        for b in slices(batches, 64):
-            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist())):
+        for b in slices(batches, 64, "packing"):
+            for doc_id, ids in zip(b.column(0).to_pylist(), encoder_of(tokenizer).encode(b.column(1).to_pylist())):
                 packer.add(doc_id, np.append(ids, np.uint32(end_id)))
             if len(packer.done) > 2000:
                 yield flush()
