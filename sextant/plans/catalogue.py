@@ -255,6 +255,20 @@ def bm25_rerank(spark, sf):
     return retrieval.bm25_rerank(c)
 
 
+_NUMBERED = "SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS at, count(*) OVER () AS n FROM benchmark"
+_WHOLE_CANDIDATES = f"cand AS (SELECT b.item_id AS q_id, substr(b.text, 1, 120) AS question, d.doc_id AS c_id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS rank0, d.text AS text FROM ({_NUMBERED}) b JOIN documents d ON ((d.doc_id % b.n) + b.n) % b.n = b.at WHERE d.text IS NOT NULL)"
+
+
+@query(f"WITH {_BM25.replace(_CANDIDATES, _WHOLE_CANDIDATES)} SELECT q_id, c_id, rank0::INT AS rank0, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, rank0)::INT AS rank FROM scored")
+def bm25_rerank_whole(spark, sf):
+    """bm25_rerank over the whole texts of all documents, dealt out to the items by doc_id."""
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("q_id"), F.substring("text", 1, 120).alias("question"))
+    b = b.withColumn("at", F.row_number().over(Window.orderBy("q_id")) - 1)
+    d = table(spark, sf, "documents").filter("text is not null").select(F.pmod("doc_id", F.lit(max(1, b.count()))).alias("at"), F.col("doc_id").alias("c_id"), "text")
+    c = d.join(b, "at").withColumn("rank0", F.row_number().over(Window.partitionBy("q_id").orderBy("c_id")))
+    return retrieval.bm25_rerank(c.drop("at"))
+
+
 def _retrieved(spark, sf) -> DataFrame:
     docs = table(spark, sf, "documents").withColumnRenamed("doc_id", "source_id").select("source_id", "text")
     index = _index(spark, sf).withColumns({"source_id": F.col("chunk_id"), "chunk_start": F.lit(0), "chunk_end": F.lit(400)})
