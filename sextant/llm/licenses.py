@@ -3,14 +3,18 @@
 A document and a template are compared as sequences of words. Words that occur once in both are anchors; the longest
 increasing run of anchors is kept, and the gaps between its members are aligned the same way, with equal words at the
 edges of a gap taken first. Coverage is the share of the template's words that are aligned. In a long document the
-places dense in a template's words are found first, so that a license that stands twice is still anchored.
+places dense in a template's words are found first, so that a license that stands twice is still anchored; long
+templates are then aligned with what is left between these places, gaps of any length. The words that name a license
+and its version must all be there.
 """
 
 from __future__ import annotations
 
+import math
+import pkgutil
 import re
 from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,30 +24,72 @@ from .common import slices
 
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
-#: Short notices and the distinctive parts of public licenses, by SPDX id.
+def _text(name: str) -> str:
+    return pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode("utf-8")
+
+
+def _gnu(name: str, version: str, comma: str = ",") -> str:
+    return f"This program is free software{':' if comma == ',' else ';'} you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later version."
+
+
+def _short(name: str, version: str) -> tuple[str, ...]:
+    versions = [version] if "." in version else [version, version + ".0"]
+    return tuple(f"{lead} under the {name}{link}{v}." for lead in ("This work is licensed", "Licensed") for link in (", version ", " v") for v in versions)
+
+
+_GPL, _LGPL, _AGPL = "GNU General Public License", "GNU Lesser General Public License", "GNU Affero General Public License"
+
+#: Notices and whole texts of public licenses, by SPDX id.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        _text("Apache-2.0"),
     ),
-    "MIT": ("Released under the MIT License.", "Licensed under the MIT License."),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", _text("MIT")),
+    "GPL-3.0": (*_short(_GPL, "3"), _gnu(_GPL, "3"), _text("GPL-3.0")),
+    "GPL-2.0": (*_short(_GPL, "2"), _gnu(_GPL, "2", ";"), _text("GPL-2.0")),
+    "LGPL-3.0": (*_short(_LGPL, "3"), _gnu(_LGPL, "3"), _text("LGPL-3.0")),
+    "LGPL-2.1": (*_short(_LGPL, "2.1"), _gnu(_LGPL, "2.1", ";").replace("This program", "This library"), _text("LGPL-2.1")),
+    "AGPL-3.0": (*_short(_AGPL, "3"), _gnu(_AGPL, "3")),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+        _text("MPL-2.0"),
     ),
-    "GPL-2.0": ("Licensed under the GNU General Public License, version 2.",),
-    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.",),
-    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.",),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",),
-    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",),
+    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", _text("BSD-3-Clause")),
+    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.", _text("BSD-2-Clause")),
+    # the sentence that both share, without the conditions that tell them apart
+    "BSD-2-Clause OR BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",),
+    "ISC": ("Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", _text("ISC")),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "Licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.",),
-    "CC0-1.0": ("Released into the public domain under CC0 1.0.",),
+    "CC0-1.0": ("Released into the public domain under CC0 1.0.", _text("CC0-1.0")),
+}
+
+#: Phrases that tell a license from its neighbours: those that stand in a template must be found word by word, so that
+#: no share of coverage makes up for another name or version.
+NAMES: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("apache license version 2.0",),
+    "MIT": ("mit license",),
+    **{f"{k}-{v}.0": (f"{n} version {v}", f"{n} version {v}.0", f"{n} v{v}", f"{n} v{v}.0", n, f"either version {v} of") for k, n in (("GPL", _GPL), ("LGPL", _LGPL), ("AGPL", _AGPL)) for v in "23"},
+    "LGPL-2.1": (f"{_LGPL} version 2.1", f"{_LGPL} v2.1", _LGPL, "either version 2.1 of"),
+    "MPL-2.0": ("mozilla public license v 2.0", "mozilla public license version 2.0"),
+    "BSD-3-Clause": ("bsd 3 clause", "neither the name of"),
+    "BSD-2-Clause": ("bsd 2 clause",),
+    "ISC": ("isc license", "provided that the above copyright notice"),
+    "CC-BY-4.0": ("cc by 4.0", "creative commons attribution 4.0"),
+    "CC-BY-SA-4.0": ("cc by sa 4.0", "creative commons attribution sharealike 4.0"),
+    "CC-BY-NC-4.0": ("cc by nc 4.0", "creative commons attribution noncommercial 4.0"),
+    "CC-BY-ND-4.0": ("cc by nd 4.0",),
+    "CC0-1.0": ("cc0 1.0",),
 }
 
+#: Templates of so many words are also looked for over the whole text, however far their words lie apart.
+_LONG = 40
+
 
 def tokens(text: str) -> list[str]:
     return _WORD.findall(text.lower())
@@ -83,51 +129,81 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _places(phrase: list[str], t: list[str]) -> list[int]:
+    return [j for j in range(len(t) - len(phrase) + 1) if t[j : j + len(phrase)] == phrase]
+
+
 class Scanner:
-    """Finds templates in texts. A template is tried where its rarest words (those that fewest templates share) occur."""
+    """Finds templates in texts. A template is tried where enough of its words occur, repeats counted."""
 
     def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = 0.8):
-        self.least = least
-        self.items = [(name, tokens(t)) for name, texts in templates.items() for t in texts]
-        self.words = frozenset(w for _, t in self.items for w in t)
-        self.of_word: dict[str, list[int]] = defaultdict(list)
-        for k, (_, t) in enumerate(self.items):
-            for w in set(t):
-                self.of_word[w].append(k)
+        self.items = []
+        for name, texts in templates.items():
+            for t in map(tokens, texts):
+                phrases = [(len(p), at) for p in map(tokens, NAMES.get(name, ())) if (at := _places(p, t))]
+                self.items.append((name, t, Counter(t), least * len(t) - 1e-9, phrases))
+
+    @staticmethod
+    def _named(pairs: list[tuple[int, int]], phrases: list[tuple[int, list[int]]]) -> bool:
+        at = {j: i for i, j in pairs}
+        return all(any(j in at and all(at.get(j + d) == at[j] + d for d in range(n)) for j in places) for n, places in phrases)
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, first word, last word + 1, aligned words) of every place where a template is covered, best template of each place."""
         doc = tokens(text or "")
-        known = self.words
-        at = [i for i, w in enumerate(doc) if w in known]
-        if not at:
-            return []
+        seen = set(doc)
         found = []
-        for k, (name, t) in enumerate(self.items):
-            need = self.least * len(t)
-            here = [i for i in at if k in self.of_word[doc[i]]]
-            if len(here) < need:
+        for name, t, count, need, phrases in self.items:
+            lack = len(t) - need
+            for w in count:
+                if w not in seen:
+                    lack -= count[w]
+                    if lack < 0:
+                        break
+            if lack < 0:
                 continue
-            words = set(t)
-            if len(words & {doc[i] for i in here}) < self.least * len(words) - 1e-9:
+            here = [i for i, w in enumerate(doc) if w in count]
+            if len(here) < need:
                 continue
-            spread, s = max(len(t) // 2, 4) + len(t), 0
+
+            def aligned(s: int, e: int) -> list[tuple[int, int]]:
+                """Pairs (word of doc, word of t) among here[s:e]."""
+                return [(here[s + i], j) for i, j in align([doc[i] for i in here[s:e]], t)]
+
+            spread = max(len(t) // 2, 4) + len(t)
+            s, e, least_e, window, both, ends = 0, 0, 0, Counter(), 0, [0]
             while s < len(here):  # a place: hits close enough together that the template could span them
-                e = s
-                while e + 1 < len(here) and here[e + 1] - here[s] < spread:
+                while e < len(here) and here[e] - here[s] < spread:
+                    w = doc[here[e]]
+                    both += window[w] < count[w]
+                    window[w] += 1
                     e += 1
-                if e - s + 1 < need:
-                    s += 1
-                    continue
-                a = here[s]
-                pairs = align(doc[a : here[e] + 1], t)
-                if len(pairs) >= need:
-                    first, last = a + pairs[0][0], a + pairs[-1][0] + 1
-                    found.append((name, len(pairs) / len(t), first, last, len(pairs)))
-                    while s < len(here) and here[s] < last:
-                        s += 1
-                else:
+                to = s + 1
+                if both >= need and e >= least_e:
+                    pairs = aligned(s, e)
+                    if len(pairs) >= need:  # again from the first aligned word, for the end may lie behind the window
+                        a = bisect_left(here, pairs[0][0])
+                        again = aligned(a, bisect_left(here, here[a] + spread))
+                        pairs = max(again, pairs, key=len)
+                    if len(pairs) >= need and self._named(pairs, phrases):
+                        found.append((name, len(pairs) / len(t), pairs[0][0], pairs[-1][0] + 1, len(pairs)))
+                        to = bisect_left(here, pairs[-1][0] + 1)
+                        ends += [bisect_left(here, pairs[0][0]), to]
+                    elif len(t) >= _LONG and len(pairs) < need:  # each further hit aligns one word more at most
+                        least_e = e + math.ceil(need - len(pairs))
+                while s < to:
+                    if s < e:
+                        w = doc[here[s]]
+                        window[w] -= 1
+                        both -= window[w] < count[w]
                     s += 1
+                e = max(e, s)
+            if len(t) >= _LONG:
+                for s, e in zip(ends[::2], [*ends[1::2], len(here)]):
+                    if e - s >= need and sum((Counter(doc[i] for i in here[s:e]) & count).values()) >= need:
+                        pairs = aligned(s, e)
+                        if len(pairs) >= need and self._named(pairs, phrases):
+                            found.append((name, len(pairs) / len(t), pairs[0][0], pairs[-1][0] + 1, len(pairs)))
         found.sort(key=lambda f: (-f[4] * f[1], f[2], f[0]))
         kept: list = []
         for f in found:
