@@ -4,7 +4,7 @@ Each node's density is its characters for each tag, lowered where much of it is
 that of its children. Starting at the body, the node of the largest density is found; its path to the body gives the
 threshold (the smallest density on the way), and of the nodes that reach the threshold the one with the largest density
 sum is the main subtree. Parts that are never article text (scripts, menus, forms, notices, comments and the like) are
-taken out before, by tag, role and class.
+taken out before, by tag, role and class; a class or id takes out only what isn't most of the page's plain text.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ _HINT = re.compile(
     re.I,
 )
 _COMMENT = re.compile(r"comment|disqus|respond|repl(?:y|ies)", re.I)
+#: Names that say how a page is laid out, not what a node is.
+_STATE = re.compile(r"(?:^|(?<=\s))(?:has|have|no|not|with|without)-\S+|(?:^|(?<=[\s_-]))comments?-(?:open|closed|on|off|enabled|disabled)(?=$|\s)", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[\s ]+")
@@ -62,7 +64,7 @@ def _skipped(tag: str, attrs: str, inside: frozenset) -> int:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
     if found.get("role", "").lower() in _ROLES or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
         return 1
-    names = found.get("class", "") + " " + found.get("id", "")
+    names = _STATE.sub(" ", found.get("class", "") + " " + found.get("id", ""))
     if tag in ("article", "main"):
         return int(bool(_COMMENT.search(names)))
     return 0 if not _HINT.search(names) else 1 if _COMMENT.search(names) else 2
@@ -120,9 +122,48 @@ def parse(page: str) -> _Node:
             node = new
     if at < len(page):
         node.children.append(page[at:])
+    _judge_hints(root)
     return root
 
 
+def _judge_hints(root: _Node) -> None:
+    """A hint by name stands only against nodes that are link-heavy or hold less than half of the page's plain text; without any text outside of such nodes, only against link-heavy ones."""
+    order, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        order.append(n)
+        todo += [c for c in n.children if isinstance(c, _Node) and c.skip != 1]
+    if not any(n.skip == 2 for n in order):
+        return
+
+    def measure(n: _Node, out: tuple[int, ...]) -> None:
+        n.chars = n.links = 0
+        for c in n.children:
+            if isinstance(c, str):
+                n.chars += len("".join(c.split()))
+            elif c.skip not in out:
+                n.chars += c.chars
+                n.links += c.links
+        if n.tag == "a":
+            n.links = n.chars
+
+    for n in reversed(order):
+        measure(n, (1,))
+    body = next((n for n in order if n.tag == "body"), root)
+    all_plain = body.chars - body.links
+    texts = []
+    for n in reversed(order):  # links of a wrapper are counted without those of the parts that are taken out of it
+        plain = n.chars - n.links
+        measure(n, (1, 2))
+        if n.skip == 2 and n.chars and 2 * n.links < n.chars:
+            texts.append(n)
+            if 2 * plain >= all_plain:
+                n.skip = 0
+    if texts and not any(isinstance(c, str) and c.strip() for n in _order(root) for c in n.children):
+        for n in texts:
+            n.skip = 0
+
+
 def _path(node) -> Iterator[str]:
     while node is not None:
         yield node.tag
