@@ -67,8 +67,12 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best of each query number, larger scores first, ties to smaller ids."""
-    order = np.lexsort((ids, -score, query))
+    """Places of the k best distinct ids of each query number, larger scores first, ties to smaller ids."""
+    each = np.lexsort((-score, ids, query))
+    if len(each):
+        a, b = query[each], ids[each]
+        each = each[np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])]
+    order = each[np.lexsort((ids[each], -score[each], query[each]))]
     q = query[order]
     start = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
     rank = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
@@ -93,18 +97,20 @@ def probes_for(lifted: np.ndarray, flat: np.ndarray, rotate: np.ndarray, centroi
     return int(need[min(len(need) - 1, int(np.ceil(target * len(need))))]) + 1
 
 
-def scan(q: np.ndarray, columns: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def scan(q: np.ndarray, columns: np.ndarray, bound: np.ndarray, k: int, own: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places (query, vector) of a list that may be among the k nearest, all queries at once.
 
     q has a rotated query in each row; columns the list's rotated vectors, dimensions first; bound a squared distance
-    for each query that its k nearest can't exceed, tightened by the first candidates. Blocks of dimensions are added
+    for each query that its k nearest can't exceed, tightened by the first candidates of distinct ids other than the
+    query's own. Blocks of dimensions are added
     for all pairs while many are alive, and pair by pair once few are.
     """
     dim, n = columns.shape
-    first = min(n, 4 * k)
-    if first > k:
-        near = (q**2).sum(1)[:, None] + (columns[:, :first] ** 2).sum(0) - 2 * q @ columns[:, :first]
-        bound = np.minimum(bound, np.partition(near, k, axis=1)[:, k] * 1.00001 + 1e-6)
+    first = np.unique(ids, return_index=True)[1][: 4 * k]
+    if len(first) > k:
+        near = (q**2).sum(1)[:, None] + (columns[:, first] ** 2).sum(0) - 2 * q @ columns[:, first]
+        near[own[:, None] == ids[first][None, :]] = np.inf
+        bound = np.minimum(bound, np.partition(near, k - 1, axis=1)[:, k - 1] * 1.00001 + 1e-6)
     part = np.zeros((len(q), n), np.float32)
     pairs = None
     for d in range(0, dim, _STEP):
@@ -143,8 +149,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     if dims is None:
         return spark.createDataFrame([], schema)
     dim, n, top = dims.d, dims.n, dims.top
-    v = v.filter(F.size("v") == dim)
-    rows = v.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "v").collect()
+    # repeats would take the places of other ids in the sample, the bounds and the parts
+    v = materialise(v.filter(F.size("v") == dim).groupBy("id", "v").agg(F.max("asks").alias("asks")))
+    rows = v.groupBy("id").agg(F.max("v").alias("v")).orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "v").collect()
     fit_ids, fit = np.array([r.id for r in rows], np.int64), np.array([r.v for r in rows], np.float32)
     rotate = rotation(dim + 1)
     lifted_fit = _lifted(fit, top, rotate)
@@ -207,11 +214,11 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
             own, asks, bound = qs["id"].to_numpy(), vectors_of(qs["v"].combine_chunks()), qs["bound"].to_numpy()
             for at in range(0, len(own), 128):
                 o, y = own[at : at + 128], asks[at : at + 128]
-                i, j = scan(np.concatenate([y, np.zeros((len(y), 1), np.float32)], 1) @ rotate, columns, bound[at : at + 128], k)
+                i, j = scan(np.concatenate([y, np.zeros((len(y), 1), np.float32)], 1) @ rotate, columns, bound[at : at + 128], k, o, ids)
                 other = o[i] != ids[j]
                 i, j = i[other], j[other]
                 score = _exact(y[i], x[j])
-                best = _best(i, ids[j], score, 2 * k)
+                best = _best(i, ids[j], score, k)
                 for c, a in zip(out, (o[i][best], ids[j][best], score[best])):
                     c.append(a)
         a, b, c = (np.concatenate(o) if o else np.zeros(0) for o in out)
