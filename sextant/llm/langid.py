@@ -162,6 +162,12 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """Rows of docs whose language can be told: those of null texts and of texts without a letter go."""
+    """Rows of docs whose language can be told: those of null texts and of texts without a letter go. Without any profile every text with a letter stays."""
     model = docs.sparkSession.sparkContext.broadcast(profiles)
-    return keep_rows(docs, lambda: lambda texts: [p != UNKNOWN for p in identify(texts, model.value)[0]])
+
+    def keep(texts: list[str | None]) -> list[bool]:
+        if not len(model.value.langs):
+            return [has_letter(t) for t in texts]
+        return [p != UNKNOWN for p in identify(texts, model.value)[0]]
+
+    return keep_rows(docs, lambda: keep)
