@@ -2,10 +2,13 @@
 
 Inner product becomes Euclidean distance by one more dimension (the square root of the largest squared norm minus the
 vector's own). Vectors are rotated by a fixed random orthogonal matrix and assigned to the nearest of the centroids of a
-bounded sample. A query reads its nearest lists. In a list, vectors lie in column blocks; after each block a hypothesis
+bounded sample. A query reads the lists whose centroid or nearest sample member is nearest. In a list, vectors lie in column blocks; after each block a hypothesis
 test compares the scaled partial distance with the distance of the best so far, and abandons a candidate as soon as it
 can't be among them. Survivors are ranked by the exact inner product of the original vectors in double precision.
 
+Every result comes out of a probed list. The sample gives centroids, the number of lists to read and a first bound on
+the distance of the k-th neighbour, but no neighbours.
+
 Lists of many vectors are split into parts of at most `part_rows`, and so are the queries that probe them, so that a
 list that holds a third of all rows is spread over many tasks.
 """
@@ -79,38 +82,61 @@ def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.n
     return order[rank < k]
 
 
-def probes_for(lifted: np.ndarray, flat: np.ndarray, rotate: np.ndarray, centroids: np.ndarray, k: int, target: float) -> int:
-    """Lists to read for a mean share `target` of the k nearest, measured with queries out of the sample (where neighbours are further, so rather too many)."""
+def list_order(to_fit: np.ndarray, to_centroids: np.ndarray, of_fit: np.ndarray) -> np.ndarray:
+    """List numbers of each query, nearest first: by the nearest of the list's centroid and its sample members.
+
+    A list is as near as its nearest known point, so that queries whose neighbours lie far from every centroid (as those
+    of large inner products do) find their list too.
+    """
+    near = to_centroids.copy()
+    o = np.argsort(of_fit, kind="stable")
+    lists, starts = np.unique(of_fit[o], return_index=True)
+    if len(lists):
+        near[:, lists] = np.minimum(near[:, lists], np.minimum.reduceat(to_fit[:, o], starts, axis=1))
+    return near.argsort(1, kind="stable")
+
+
+def probes_for(lifted: np.ndarray, flat: np.ndarray, rotate: np.ndarray, centroids: np.ndarray, k: int, target: float, seed: int = 9) -> int:
+    """Lists to read for a mean share `target` of the k nearest, measured with queries out of the sample.
+
+    One half of the sample orders the lists, the neighbours are those in the other half: both are further than in the
+    whole table, so rather too many lists are read.
+    """
     lists = len(centroids)
+    half = np.random.default_rng(seed).random(len(flat)) < 0.5
     asks = np.arange(0, len(flat), max(1, len(flat) // 256))
     q = np.concatenate([flat[asks], np.zeros((len(asks), 1), np.float32)], 1) @ rotate
     far = (lifted**2).sum(1) - 2 * q @ lifted.T
     far[np.arange(len(asks)), asks] = np.inf
-    m = min(k, len(flat) - 1)
-    if m < 1 or lists == 1:
+    m = min(k, int((~half).sum()) - 1)
+    if m < 1 or not half.any() or lists == 1:
         return lists
-    near = np.argpartition(far, m - 1, axis=1)[:, :m]
-    order = np.argsort((centroids**2).sum(1) - 2 * q @ centroids.T, axis=1)
+    near = np.flatnonzero(~half)[np.argpartition(far[:, ~half], m - 1, axis=1)[:, :m]]
+    of_fit = _assign(lifted, centroids)
+    order = list_order(far[:, half], (centroids**2).sum(1) - 2 * q @ centroids.T, of_fit[half])
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(lists)[None, :].repeat(len(asks), 0), axis=1)
-    need = np.sort(np.take_along_axis(rank, _assign(lifted, centroids)[near], axis=1).ravel())
+    need = np.sort(np.take_along_axis(rank, of_fit[near], axis=1).ravel())
     return int(need[min(len(need) - 1, int(np.ceil(target * len(need))))]) + 1
 
 
-def scan(q: np.ndarray, columns: np.ndarray, bound: np.ndarray, k: int, own: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (query, vector) of a list that may be among the k nearest, all queries at once.
+def scan(q: np.ndarray, columns: np.ndarray, bound: np.ndarray, k: int, own: np.ndarray, ids: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (query, vector) of a list that may be among the k nearest, all queries at once; a place may come twice.
 
     q has a rotated query in each row; columns the list's rotated vectors, dimensions first; bound a squared distance
     for each query that its k nearest can't exceed, tightened by the first candidates of distinct ids other than the
-    query's own. Blocks of dimensions are added
-    for all pairs while many are alive, and pair by pair once few are.
+    query's own; for queries marked sure, the best k of these (all, if fewer) are returned whatever the bound. Blocks of
+    dimensions are added for all pairs while many are alive, and pair by pair once few are.
     """
     dim, n = columns.shape
     first = np.unique(ids, return_index=True)[1][: 4 * k]
+    near = (q**2).sum(1)[:, None] + (columns[:, first] ** 2).sum(0) - 2 * q @ columns[:, first]
+    near[own[:, None] == ids[first][None, :]] = np.inf
+    best = np.argpartition(near, k - 1, axis=1)[:, :k] if len(first) > k else np.tile(np.arange(len(first)), (len(q), 1))
     if len(first) > k:
-        near = (q**2).sum(1)[:, None] + (columns[:, first] ** 2).sum(0) - 2 * q @ columns[:, first]
-        near[own[:, None] == ids[first][None, :]] = np.inf
-        bound = np.minimum(bound, np.partition(near, k - 1, axis=1)[:, k - 1] * 1.00001 + 1e-6)
+        bound = np.minimum(bound, np.take_along_axis(near, best, axis=1).max(1) * 1.00001 + 1e-6)
+    given = np.nonzero(np.isfinite(np.take_along_axis(near, best, axis=1)) & sure[:, None])
+    given = given[0], first[best[given]]
     part = np.zeros((len(q), n), np.float32)
     pairs = None
     for d in range(0, dim, _STEP):
@@ -128,7 +154,7 @@ def scan(q: np.ndarray, columns: np.ndarray, bound: np.ndarray, k: int, own: np.
             rest = rest + ((columns[d:e, j] - q[i, d:e].T) ** 2).sum(0)
             ok = rest <= bound[i] * slack + 1e-6
             pairs, rest = (i[ok], j[ok]), rest[ok]
-    return pairs
+    return np.concatenate([pairs[0], given[0]]), np.concatenate([pairs[1], given[1]])
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", list_rows: int = 1024, max_lists: int = 1024, target: float = 0.97, sample: int = 16_384, part_rows: int = 8192, part_queries: int = 1024) -> DataFrame:
@@ -136,10 +162,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
 
     Every usable row of the most common dimension is indexed (see usable; of equally common dimensions, the smallest).
     A sample of at most `sample` rows, by hash of the id, fits the centroids, the number of lists to read for the recall
-    `target`, and a bound on each query's k-th distance (the sample's own k nearest are candidates too, so k are always
-    returned where there are as many). Ties in score go to the smaller id. Rows that repeat an id count once, with their
-    best score; queries that repeat an id search with their largest vector. Null ids take no part. An empty table gives
-    no rows.
+    `target`, and a bound on each query's k-th distance; it is no part of the answer. A query reads on until its lists
+    hold more than k ids, so k are always returned where there are as many. Ties in score go to the smaller id. Rows
+    that repeat an id count once, with their best score; queries that repeat an id search with their largest vector.
+    Null ids take no part. An empty table gives no rows; columns other than the two named are ignored.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -158,63 +184,61 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     lists = int(np.clip(n // list_rows, 1, min(max_lists, max(1, len(fit) // 16))))
     centroids = _kmeans(lifted_fit, lists)
     probes = probes_for(lifted_fit, fit, rotate, centroids, k, target)
-    model = spark.sparkContext.broadcast((rotate, centroids, top, fit_ids, fit))
+    model = spark.sparkContext.broadcast((rotate, centroids, top))
 
     def vectors_of(column) -> np.ndarray:
         return np.array(column.flatten(), np.float32).reshape(-1, dim)
 
     def assign(batches):
-        rotate, centroids, top = model.value[:3]
+        rotate, centroids, top = model.value
         for b in slices(batches, 4096):
             near = _assign(_lifted(vectors_of(b.column(1)), top, rotate), centroids)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near, pa.int32()), b.column(1), b.column(2)], ["id", "list", "v", "asks"])
 
-    def probe(batches):  # the lists to read, and the sample's k nearest with the bound they give
-        rotate, centroids, top, fit_ids, fit = model.value
+    placed = materialise(v.mapInArrow(assign, "id long, list int, v array<float>, asks boolean"))
+    # ids of each list, every id counted in one list only
+    held = np.zeros(lists, np.int64)
+    for r in placed.groupBy("id").agg(F.min("list").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect():
+        held[r.list] = r.n
+    fitted = spark.sparkContext.broadcast((fit_ids, fit, held))
+
+    def probe(batches):  # the lists to read, and the bound that the sample's k nearest give
+        rotate, centroids, top = model.value
+        fit_ids, fit, held = fitted.value
         lifted_fit = _lifted(fit, top, rotate)
-        own_norm = (lifted_fit**2).sum(1)
+        own_norm, of_fit = (lifted_fit**2).sum(1), _assign(lifted_fit, centroids)
         for b in slices(batches, 512):
             ids, x = b.column(0).to_numpy(), vectors_of(b.column(1))
             q = np.concatenate([x, np.zeros((len(x), 1), np.float32)], 1) @ rotate
-            far = (centroids**2).sum(1) - 2 * q @ centroids.T
-            near = np.argpartition(far, probes - 1, axis=1)[:, :probes] if probes < len(centroids) else np.tile(np.arange(len(centroids)), (len(x), 1))
             d = own_norm - 2 * q @ lifted_fit.T + (q**2).sum(1)[:, None]
             d[ids[:, None] == fit_ids[None, :]] = np.inf
-            m = min(k, d.shape[1])
-            at = np.argpartition(d, m - 1, axis=1)[:, :m]
-            worst = np.take_along_axis(d, at, axis=1).max(1)
-            bound = np.where(np.isfinite(worst) & (m == k), worst * 1.00001 + 1e-6, np.inf).astype(np.float32)
-            i = np.repeat(np.arange(len(x)), m)
-            j = at.ravel()
-            ok = fit_ids[j] != ids[i]
-            i, j = i[ok], j[ok]
-            score = _exact(x[i], fit[j])
-            to = pa.array(np.repeat(np.arange(len(x)), near.shape[1]))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(to), pa.array(near.ravel(), pa.int32()), b.column(1).take(to), pa.array(bound).take(to), pa.nulls(len(to), pa.int64()), pa.nulls(len(to), pa.float64())], names)
-            empty = pa.array([[]], b.column(1).type).take(pa.array(np.zeros(len(i), np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(np.full(len(i), -1), pa.int32()), empty, pa.array(bound[i]), pa.array(fit_ids[j]), pa.array(score)], names)
-
-    names = ["id", "list", "v", "bound", "vec_id", "score"]
-    placed = materialise(v.mapInArrow(assign, "id long, list int, v array<float>, asks boolean"))
+            order = list_order(d, (centroids**2).sum(1) - 2 * q @ centroids.T + (q**2).sum(1)[:, None], of_fit)
+            needed = np.minimum((np.cumsum(held[order], axis=1) <= k).sum(1) + 1, len(centroids))
+            i, at = np.nonzero(np.arange(len(centroids))[None, :] < np.maximum(needed, probes)[:, None])
+            worst = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(x), np.inf)
+            bound = np.where(np.isfinite(worst), worst * 1.00001 + 1e-6, np.inf).astype(np.float32)
+            to = pa.array(i)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(to), pa.array(order[i, at].astype(np.int32)), b.column(1).take(to), pa.array(bound[i]), pa.array(at < needed[i])], ["id", "list", "v", "bound", "sure"])
+
     asked = placed.filter("asks").groupBy("id").agg(F.max("v").alias("v"))
-    probed = materialise(asked.mapInArrow(probe, "id long, list int, v array<float>, bound float, vec_id long, score double"))
+    probed = materialise(asked.mapInArrow(probe, "id long, list int, v array<float>, bound float, sure boolean"))
     # counts of at most max_lists lists: how many parts each list's vectors and queries are cut into
     rows_of = {r.list: r.n for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    asks_of = {r.list: r.n for r in probed.filter("list >= 0").groupBy("list").agg(F.count("*").alias("n")).collect()}
+    asks_of = {r.list: r.n for r in probed.groupBy("list").agg(F.count("*").alias("n")).collect()}
     parts = spark.createDataFrame([(i, -(-m // part_rows), -(-asks_of.get(i, 1) // part_queries)) for i, m in sorted(rows_of.items())], "list int, nv int, nq int")
     left = placed.join(F.broadcast(parts), "list").select("list", F.pmod(F.xxhash64("id"), "nv").cast("int").alias("pv"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("pq"), "id", "v")
-    right = probed.join(F.broadcast(parts), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)).alias("pv"), F.pmod(F.xxhash64("id"), "nq").cast("int").alias("pq"), "id", "v", "bound")
+    right = probed.join(F.broadcast(parts), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("nv") - 1)).alias("pv"), F.pmod(F.xxhash64("id"), "nq").cast("int").alias("pq"), "id", "v", "bound", "sure")
 
     def match(vs: pa.Table, qs: pa.Table) -> pa.Table:
-        rotate, _, top = model.value[:3]
+        rotate, _, top = model.value
         out: list[list] = [[], [], []]
         if vs.num_rows and qs.num_rows:
             ids, x = vs["id"].to_numpy(), vectors_of(vs["v"].combine_chunks())
             columns = np.ascontiguousarray(_lifted(x, top, rotate).T)
-            own, asks, bound = qs["id"].to_numpy(), vectors_of(qs["v"].combine_chunks()), qs["bound"].to_numpy()
+            own, asks, bound, sure = qs["id"].to_numpy(), vectors_of(qs["v"].combine_chunks()), qs["bound"].to_numpy(), qs["sure"].to_numpy()
             for at in range(0, len(own), 128):
                 o, y = own[at : at + 128], asks[at : at + 128]
-                i, j = scan(np.concatenate([y, np.zeros((len(y), 1), np.float32)], 1) @ rotate, columns, bound[at : at + 128], k, o, ids)
+                i, j = scan(np.concatenate([y, np.zeros((len(y), 1), np.float32)], 1) @ rotate, columns, bound[at : at + 128], k, o, ids, sure[at : at + 128])
                 other = o[i] != ids[j]
                 i, j = i[other], j[other]
                 score = _exact(y[i], x[j])
@@ -226,7 +250,6 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
 
     key = ["list", "pv", "pq"]
     pairs = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(match, "query_id long, vec_id long, score double")
-    every = pairs.union(probed.filter("list < 0").select("id", "vec_id", "score"))
-    best = every.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", order.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

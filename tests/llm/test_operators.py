@@ -168,16 +168,54 @@ def test_ann_small_is_exact(spark):
     assert ann.search(df.limit(0), F.lit(True)).count() == 0
 
 
-def test_ann_recall(spark):
-    x = np.random.default_rng(3).normal(size=(4000, 32)).astype(np.float32)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = ann.search(df, F.col("vec_id") % 100 == 0, k=10, list_rows=200, part_rows=300, part_queries=16).collect()
+def clustered(n, dim, seed, groups=60):
+    r = np.random.default_rng(seed)
+    return (r.normal(size=(groups, dim))[r.integers(0, groups, n)] * r.uniform(0.5, 2, (n, 1)) + r.normal(scale=0.4, size=(n, dim))).astype(np.float32)
+
+
+def recall(spark, x, step, k, **options):
+    """Share of the true neighbours found; every query must get k distinct others in order."""
+    df = spark.createDataFrame([(i, v.tolist(), "q") for i, v in enumerate(x)], "vec_id long, embedding array<float>, list string").select("*", F.lit(1).alias("id"), F.lit(2).alias("v"), F.lit(3).alias("asks"))
+    got = ann.search(df, F.col("vec_id") % step == 0, k=k, **options).collect()
+    by = {}
+    for g in got:
+        by.setdefault(g.query_id, []).append(g)
     hit = 0
-    for q in range(0, 4000, 100):
-        s = x.astype(float) @ x[q]
+    for q in range(0, len(x), step):
+        s = x.astype(float) @ x[q].astype(float)
         s[q] = -np.inf
-        hit += len(set(np.argsort(-s)[:10].tolist()) & {g.vec_id for g in got if g.query_id == q})
-    assert hit / 400 >= 0.9
+        mine = sorted(by[q], key=lambda g: g.rank)
+        assert len({g.vec_id for g in mine} - {q}) == k and [(-g.score, g.vec_id) for g in mine] == sorted((-g.score, g.vec_id) for g in mine)
+        hit += len(set(np.argsort(-s)[:k].tolist()) & {g.vec_id for g in mine})
+    assert len(by) == len(range(0, len(x), step))
+    return hit / (k * len(by))
+
+
+@pytest.mark.parametrize("kind", ["random", "clustered"])
+def test_ann_recall(spark, kind):
+    # lists, parts and queries are all split, and the sample is a small share of the table
+    x = np.random.default_rng(3).normal(size=(6000, 32)).astype(np.float32) if kind == "random" else clustered(6000, 32, 4)
+    assert recall(spark, x, 100, 10, list_rows=150, part_rows=100, part_queries=16, sample=1200) >= 0.95
+
+
+def test_ann_results_come_from_lists(spark, monkeypatch):
+    x = clustered(500, 16, 5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    none = lambda *a: (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    monkeypatch.setattr(ann, "scan", none)
+    src = ann.search
+    assert src(df, F.col("vec_id") % 50 == 0, k=5).count() == 0
+
+
+def test_scan_keeps_all_that_is_near():
+    r = np.random.default_rng(8)
+    rotate = ann.rotation(33)
+    x, q = clustered(900, 33, 9) @ rotate, clustered(40, 33, 9) @ rotate
+    ids = np.arange(900)
+    i, j = ann.scan(q, np.ascontiguousarray(x.T), np.full(40, np.inf, np.float32), 10, r.integers(0, 900, 40), ids, np.ones(40, bool))
+    d = ((q[:, None, :] - x[None]) ** 2).sum(2)
+    found = sum(len(set(np.argsort(d[a])[:10].tolist()) & set(j[i == a].tolist())) for a in range(40))
+    assert found >= 0.97 * 400 - 40 and len(i) < 0.5 * 40 * 900
 
 
 # --- licenses ---
