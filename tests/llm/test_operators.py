@@ -410,3 +410,88 @@ def test_extract_edges(spark):
     got = htmltext.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == 4 and all(x.n_chars == len(x.text) for x in got)
     assert html.unescape("&amp;") == "&"
+
+
+def test_extract_attributes_and_broken_tags():
+    three = "one it\n\ntwo don't\n\nthree it's"
+    assert htmltext.extract("<p title=it's>one it</p><p>two don't</p><p>three it's</p>") == three
+    assert htmltext.extract("<p title=\"a>b\" id='c>d'>one it<p data-x=a/b/>two don't<p class = x >three it's") == three
+    assert htmltext.extract("<p>1 < 2 and 3<4 </ x>end</p>") == "1 < 2 and 3<4 end"
+    assert htmltext.extract("<head><title>t</title><p>no body tag</p>") == "no body tag"
+    assert htmltext.extract("<head><meta charset=x><body><p>text</p></body></html><p>after") == "text\n\nafter"
+    assert htmltext.extract("<nav/><p>x</p><a href=/y/>z</a>") == "x\n\nz"
+    assert htmltext.extract("<table><tr><td>a<td>b</div><tr><td><table><tr><td>in</table>out</table>") == "a\n\nb\n\nin\n\nout"
+    assert htmltext.extract("<ul><li>a<ul><li>b<li>c</ul>d<li>e</ul>") == "a\n\nb\n\nc\n\nd\n\ne"
+    assert htmltext.extract("<!--><p>x<!-- y --!><p>z<script>if (a<b) '</p>'</SCRIPT ><p>w") == "x\n\nz\n\nw"
+
+
+def test_extract_sections_and_headings():
+    part = lambda i, n: f"<section><h2>Part {i}</h2>" + f"<p>{words(30, i)}</p>" * n + "</section>"
+    page = f"<body><ul><li><a href=a>menu</a><li><a href=b>more</a></ul><div class=post><h1>Title</h1><div class=entry>{part(1, 9)}{part(2, 1)}{part(3, 2)}</div></div></body>"
+    got = htmltext.extract(page).split("\n\n")
+    assert got[0] == "Title" and [g for g in got if g.startswith("Part")] == ["Part 1", "Part 2", "Part 3"] and len(got) == 16 and "menu" not in got
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "deep", "<a b " * 40_000 + '"', "<a b='" * 40_000, "<span>" * 30_000 + "</div>" * 30_000, "<table><tr><td>" * 30_000 + "x", "<article>" * 40_000, "<div class=ad>" * 40_000, "<p " + "a=b " * 200_000 + ">x", "<ul><li>" * 40_000, "<!-- " * 100_000, "<td><p>" * 30_000 + "</tr>" * 30_000])
+def test_extract_time_grows_with_the_page(page):
+    import time
+
+    start = time.perf_counter()
+    htmltext.extract(page)
+    assert time.perf_counter() - start < 15
+
+
+def brute_density(root):
+    """The main subtree by the definition, from counts taken anew for every node."""
+    import math
+
+    def nodes(n):
+        return [n, *(x for c in n.children if isinstance(c, htmltext.Node) and not c.skip for x in nodes(c))]
+
+    def chars(n):
+        return sum(len("".join(c.split())) for x in nodes(n) for c in x.children if isinstance(c, str))
+
+    def link_chars(n):
+        return chars(n) if n.href else sum(link_chars(c) for c in n.children if isinstance(c, htmltext.Node) and not c.skip)
+
+    body = next((n for n in nodes(root) if n.tag == "body"), root)
+
+    def density(n):
+        c, lc, t, lt = chars(n), link_chars(n), max(1, len(nodes(n)) - 1), max(1, sum(x.href for x in nodes(n)[1:]))
+        base = max(math.e, math.log(c / max(1, c - lc) * max(lc, 1) + link_chars(body) / max(1, chars(body)) * c + math.e))
+        return c / t * max(0, math.log(max(c, 1) / max(lc, 1) * t / lt) / math.log(base))
+
+    def total(n):
+        t = max(1, len(nodes(n)) - 1)
+        return sum(density(c) if isinstance(c, htmltext.Node) and not c.skip else len("".join(c.split())) / t if isinstance(c, str) else 0 for c in n.children)
+
+    every = nodes(body)
+    d = {id(n): density(n) for n in every}
+    top = max(every, key=lambda n: d[id(n)])
+    path = [top]
+    while path[-1] is not body:
+        path.append(path[-1].parent)
+    least = min(d[id(n)] for n in path)
+    fit = [n for n in every if d[id(n)] >= least and n.tag not in htmltext._INLINE]
+    return max(total(n) for n in fit), {id(n): total(n) for n in fit}
+
+
+def test_density_against_brute_force():
+    r = random.Random(4)
+
+    def tree(depth):
+        tag = r.choice(["div", "div", "section", "p", "a href=x", "ul", "li", "b", "nav", "div class=ad"])
+        inner = "".join(words(r.randrange(1, 25), r.random()) if not depth or r.random() < 0.4 else tree(depth - 1) for _ in range(r.randrange(1, 5)))
+        return f"<{tag}>{inner}</{tag.split()[0]}>"
+
+    for _ in range(150):
+        root = htmltext.parse(f"<body>{tree(4)}{tree(3)}</body>")
+        got = htmltext.main_subtree(htmltext.measure(root))
+        best, sums = brute_density(root)
+        assert sums[id(got)] == pytest.approx(best)
+
+
+def test_extract_empty_table_and_other_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<p>x</p>", "t", 5)], "page_id long, url string, html string, text string, n_chars long")
+    assert [tuple(r) for r in htmltext.extract_pages(df).collect()] == [(1, "u", "x", 1)]
+    assert htmltext.extract_pages(df.limit(0)).count() == 0
