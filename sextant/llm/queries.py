@@ -9,6 +9,10 @@ from . import ann, chat, decontam, htmltext, langid, licenses, packing, simhash,
 from .common import fold, table
 
 
+#: Loss-bearing tokens of a packed sequence at most. A document's first line counts as its prompt: about a twelfth of all tokens.
+LOSS_TOKENS = 3840
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -44,7 +48,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), loss=LOSS_TOKENS, prompt=packing.first_line())
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

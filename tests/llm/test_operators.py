@@ -326,13 +326,15 @@ def test_encoder_equals_library():
     assert [x.tolist() for x in e.encode(texts)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
-@pytest.mark.parametrize("segments,loss", [(256, None), (3, None), (256, 1000)])
+@pytest.mark.parametrize("segments,loss", [(256, None), (3, None), (256, 1000), (256, 3840)])
 def test_pack(spark, segments, loss):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
     rows = [(i, words(random.Random(i).randrange(1, 900), i)) for i in range(60)] + [(100, None), (101, ""), (102, words(9000, 5)), (7, words(10, 7))]
-    got = packing.pack(docs(spark, rows).coalesce(2), tokenizer_path(), segments=segments, loss=loss).collect()
+    lead = F.when(F.col("doc_id") % 2 == 0, packing.first_line())
+    rows = [(i, x.replace(" ", "\n", 1 + i % 40) if x else x) for i, x in rows]
+    got = packing.pack(docs(spark, rows).coalesce(2).withColumns({"lead": F.lit(9), "start": F.lit(1)}), tokenizer_path(), segments=segments, loss=loss, prompt=lead).collect()
     sequences = {}
     for p in got:
         sequences.setdefault(p.sequence_id, []).append(p)
@@ -340,9 +342,8 @@ def test_pack(spark, segments, loss):
         pieces.sort(key=lambda p: p.offset)
         assert [p.offset for p in pieces] == [sum(q.length for q in pieces[:i]) for i in range(len(pieces))]
         total = sum(p.length for p in pieces)
-        assert total <= 4096 and len(pieces) <= segments and sum(p.length - 1 for p in pieces) <= (loss or 4096)
-        if segments == 256 and loss is None:
-            assert total & (total - 1) == 0  # no padding at all
+        assert total <= 4096 and len(pieces) <= segments and sum(p.loss_tokens for p in pieces) <= (loss or 4096)
+        assert total & (total - 1) == 0  # no padding at all
     by_doc = {}
     for p in got:
         by_doc.setdefault(p.doc_id, []).append(p)
@@ -352,12 +353,37 @@ def test_pack(spark, segments, loss):
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
         at = 0
         for p in sorted(by_doc[i], key=lambda p: p.start):
+            asks = len(t.encode((text or "").split("\n")[0], add_special_tokens=False).ids) if i % 2 == 0 and "\n" in (text or "") else 0
+            assert p.loss_tokens == sum(k > p.start and k >= asks for k in range(p.start, p.start + p.length))
             assert p.start == at and p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes()) and p.doc_tokens == len(ids)
             at += p.length
         assert at == len(ids)
     assert packing.pack(docs(spark, []), tokenizer_path()).count() == 0
 
 
+def test_pack_tiny_texts_without_padding(spark):
+    got = packing.pack(docs(spark, [(i, "ab cd") for i in range(3000)]).coalesce(1), tokenizer_path()).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("pieces")).collect()
+    tokens, slots = sum(g.n for g in got), sum(1 << (g.n - 1).bit_length() for g in got)
+    assert tokens >= 9000 and slots <= 1.01 * tokens and max(g.pieces for g in got) <= 256
+    assert sum(g.n < 64 for g in got) <= 6  # short sequences only at the end
+
+
+def test_loss_limit_binds():
+    r = random.Random(6)
+    packed = []
+    for loss in (None, 3000):
+        p = packing.Packer(loss=loss, pool=64)
+        for i in range(400):
+            n = r.randrange(20, 900)
+            p.add(i, np.arange(n, dtype=np.uint32), r.choice([0, n // 2]))
+        p.finish()
+        by = {}
+        for d in p.done:
+            by[d[5]] = by.get(d[5], 0) + d[7]
+        packed.append(max(by.values()))
+    assert packed[0] > 3000 >= packed[1]
+
+
 # --- chat ---
 
 
