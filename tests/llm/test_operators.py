@@ -288,15 +288,15 @@ def brute_decontaminate(texts, items, n=8):
     return out
 
 
-@pytest.mark.parametrize("bound", [200_000, 0])
-def test_decontaminate(spark, bound):
+@pytest.mark.parametrize("set_bound,bound", [(20_000, 200_000), (0, 200_000), (0, 0)])
+def test_decontaminate(spark, set_bound, bound):
     import hashlib
 
     a, b = words(20, 1), words(12, 2)
     items = [(1, a), (22, b), (3, "Short One é"), (4, None), (5, "!!"), (6, a)]
-    texts = [(1, words(30, 9) + " " + a + ". " + words(5, 8)), (2, a[: len(a) // 2] + " " + b), (3, "a short-one É x short one é"), (4, None), (5, ""), (6, words(2000, 11)), (7, b.upper())]
+    texts = [(1, words(30, 9) + " " + a + ". " + words(5, 8)), (2, a[: len(a) // 2] + " " + b), (3, "a short-one É x short one é"), (4, None), (5, ""), (6, words(2000, 11)), (7, b.upper()), (8, words(60_000, 12) + " " + a), (None, b)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {x.doc_id: x for x in decontam.decontaminate(docs(spark, texts), bench, bound=bound).collect()}
+    got = {x.doc_id: x for x in decontam.decontaminate(docs(spark, texts), bench, set_bound=set_bound, bound=bound).collect()}
     for d, (n, hit, k, ids) in brute_decontaminate(texts, items).items():
         assert (got[d].n_words, got[d].n_hit, got[d].n_items, got[d].items_sha256, got[d].contaminated) == (n, hit, k, hashlib.sha256(ids.encode()).hexdigest(), k >= 2), d
     assert decontam.decontaminate(docs(spark, [(1, a), (1, a)]), bench).count() == 2
@@ -310,6 +310,10 @@ def test_clean(spark):
     texts = [(1, words(20, 1) + " and " + b), (2, f"--Before it, {b}! After it."), (3, "nothing here"), (4, None), (None, b)]
     got = {x.doc_id: x.text for x in decontam.clean(docs(spark, texts), bench).collect()}
     assert got == {2: "--Before it, ! After it.", 3: "nothing here", 4: None, None: b}
+    extra = docs(spark, [(2, f"x {b} y"), (2, "other words"), (2, f"x {b} y")]).withColumns({c: F.lit(1) for c in ("spans", "_d", "_k", "_h", "_s", "_t", "_c", "h", "rid", "n_words", "hits", "items", "contaminated", "window", "n_chars")})
+    again = decontam.clean(extra, bench)
+    assert again.columns == extra.columns and sorted((x.text, x.n_chars, x.spans) for x in again.collect()) == [("other words", 1, 1), ("x  y", 4, 1), ("x  y", 4, 1)]
+    assert decontam.clean(docs(spark, texts), bench.limit(0)).count() == len(texts) and decontam.clean(docs(spark, []), bench).count() == 0
 
 
 # --- packing ---
