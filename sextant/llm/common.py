@@ -109,13 +109,17 @@ def keep_rows(docs: DataFrame, keep: Callable[[], Callable[[list[str | None]], l
     return docs.mapInArrow(run, docs.schema)
 
 
-def texts_of(docs: DataFrame, ids: list, extra: list[str] = ()) -> list:
-    """Rows (doc_id, text, ...) of a bounded list of ids, one row for each id: the smallest text if it repeats."""
+#: Longer texts (in UTF-8 bytes) aren't learned from, so that a sample of n texts is at most n times as large.
+SAMPLE_BYTES = 65_536
+
+
+def texts_of(docs: DataFrame, ids: list, extra: list[str] = (), most: int = SAMPLE_BYTES) -> list:
+    """Rows (doc_id, text, ...) of a bounded list of ids with a text of at most `most` bytes, one row for each id: the smallest text if it repeats."""
     spark = docs.sparkSession
     if not ids:
         return []
     keys = spark.createDataFrame([(i,) for i in ids], "doc_id long")
-    rows = docs.select("doc_id", "text", *extra).join(F.broadcast(keys), "doc_id").collect()
+    rows = docs.select("doc_id", "text", *extra).filter(F.octet_length("text") <= most).join(F.broadcast(keys), "doc_id").collect()
     best: dict = {}
     for r in rows:
         if r.doc_id not in best or (r.text or "") < (best[r.doc_id].text or ""):

@@ -9,6 +9,8 @@ the language whose prototype has the largest cosine.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,18 +21,32 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import fold, keep_rows, slices, texts_of
 
 UNKNOWN = "und"
-_NOT_LETTER = re.compile(r"[\W\d_]+")
+
+
+def _not_letter() -> re.Pattern:
+    """Runs without a letter (category L): \\w also takes in numbers such as fractions and circled ones."""
+    numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))
+    return re.compile(rf"[\W\d_{numbers}]+")
+
+
+_NOT_LETTER = _not_letter()
 _PIECE = 1 << 20
+#: Text lengths are told apart by powers of two up to this; a floor needs so many labelled texts of its length.
+_SIZES, _FLOOR_TEXTS = 24, 20
 _VECTORS: dict[tuple[int, int], np.ndarray] = {}
 
 
 @dataclass(frozen=True)
 class Profiles:
-    """langs[i] has prototype prototypes[i], a unit vector. sharpness scales cosines before the softmax of score."""
+    """langs[i] has prototype prototypes[i], a unit vector. sharpness scales cosines before the softmax of score.
+
+    floors[b] is the least cosine of a text of 2**b to 2**(b+1) characters that keep_known takes for a known language.
+    """
 
     langs: tuple[str, ...]
     prototypes: np.ndarray
     sharpness: float
+    floors: np.ndarray
 
 
 def _letter(code: int, dim: int) -> np.ndarray:
@@ -98,22 +114,31 @@ def bundle(texts: list[str | None], dim: int) -> np.ndarray:
 def fit(docs: DataFrame, dim: int = 1024, sample_docs: int = 2400, held_fold: int = 2, folds: int = 4, epochs: int = 8) -> Profiles:
     """Profiles from at most sample_docs documents with text and lang outside the held-out fold, as many of each language as there are, evenly.
 
-    The sample is by hash of the id. Without any such document the profiles are empty and every text gets `und`.
+    The sample is by hash of the id, without texts over common.SAMPLE_BYTES. Without any such document the profiles are
+    empty and every text gets `und`.
     """
     rows = docs.select("doc_id", "lang").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (fold("doc_id", folds) != held_fold))
     at = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     langs = rows.select("lang").distinct().limit(sample_docs).count()
     if not langs:
-        return Profiles((), np.zeros((0, dim), np.float32), 1.0)
+        return _none(dim)
     ids = [r.doc_id for r in rows.withColumn("at", at).filter(F.col("at") <= max(1, sample_docs // langs)).select("doc_id").distinct().collect()]
     sample = [r for r in texts_of(docs.filter(F.col("lang").isNotNull()), ids, ["lang"]) if has_letter(r.text)]
     return train([r.text for r in sample], [r.lang for r in sample], dim, epochs)
 
 
+def _none(dim: int) -> Profiles:
+    return Profiles((), np.zeros((0, dim), np.float32), 1.0, np.full(_SIZES, -1.0))
+
+
+def _sizes(texts: list[str]) -> np.ndarray:
+    return np.array([min(len(t).bit_length() - 1, _SIZES - 1) for t in texts])
+
+
 def train(texts: list[str], langs: list[str], dim: int = 1024, epochs: int = 8) -> Profiles:
     names = tuple(sorted(set(langs)))
     if not names:
-        return Profiles((), np.zeros((0, dim), np.float32), 1.0)
+        return _none(dim)
     x = np.concatenate([bundle(texts[i : i + 128], dim) for i in range(0, len(texts), 128)])
     y = np.array([names.index(v) for v in langs])
     sums = np.stack([x[y == k].sum(0) for k in range(len(names))])
@@ -130,7 +155,9 @@ def train(texts: list[str], langs: list[str], dim: int = 1024, epochs: int = 8)
         np.subtract.at(sums, guess[wrong], 0.5 * x[wrong])
     cos = x @ best.T
     gap = np.median(np.partition(cos, -1, axis=1)[:, -1] - (np.partition(cos, -2, axis=1)[:, -2] if len(names) > 1 else 0))
-    return Profiles(names, best.astype(np.float32), float(6 / max(gap, 1e-3)))
+    size, most = _sizes(texts), cos.max(1)
+    floors = np.array([most[size == b].min() / 2 if (size == b).sum() >= _FLOOR_TEXTS else -1.0 for b in range(_SIZES)])
+    return Profiles(names, best.astype(np.float32), float(6 / max(gap, 1e-3)), floors)
 
 
 def identify(texts: list[str | None], profiles: Profiles) -> tuple[list[str], np.ndarray]:
@@ -161,13 +188,22 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """Rows of docs whose language can be told: those of null texts and of texts without a letter go. Without any profile every text with a letter stays."""
-    model = docs.sparkSession.sparkContext.broadcast(profiles)
+def known(texts: list[str | None], profiles: Profiles) -> list[bool]:
+    """Whether a text has a letter and its best cosine reaches half of the least one of labelled texts of about its length."""
+    out = [has_letter(t) for t in texts]
+    if len(profiles.langs) and any(out):
+        most = (bundle(texts, profiles.prototypes.shape[1]) @ profiles.prototypes.T).max(1)
+        floors = profiles.floors[_sizes([t or " " for t in texts])]
+        out = [o and bool(c >= f) for o, c, f in zip(out, most, floors)]
+    return out
 
-    def keep(texts: list[str | None]) -> list[bool]:
-        if not len(model.value.langs):
-            return [has_letter(t) for t in texts]
-        return [p != UNKNOWN for p in identify(texts, model.value)[0]]
 
-    return keep_rows(docs, lambda: keep)
+def keep_known(docs: DataFrame, profiles: Profiles) -> DataFrame:
+    """Rows of docs in a language that can be told (see known), their columns as they are, whatever their names.
+
+    Null texts, texts without a letter and texts far from every profile go. Every row is judged by its own whole text,
+    rows that repeat an id too; lengths with few labelled texts have no floor, and without any profile every text with a
+    letter stays. An empty table stays empty.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(profiles)
+    return keep_rows(docs, lambda: lambda texts: known(texts, model.value))

@@ -272,7 +272,8 @@ def probabilities(texts: list[str | None], model: Model, reader: Reader) -> np.n
 def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = 2000, sample_clean: int = 3000, held_fold: int = 0, folds: int = 5) -> Model | None:
     """Model from at most sample_toxic and sample_clean labelled documents outside the held-out fold, by hash of the id.
 
-    Null labels are left out; a document labelled twice is toxic if any label says so. None without both classes.
+    Texts over common.SAMPLE_BYTES are scored, but not learned from. Null labels are left out; a document labelled twice
+    is toxic if any label says so. None without both classes.
     """
     marked = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id", folds) != held_fold)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     wanted = {}
@@ -308,7 +309,11 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Rows of docs with a score under 0.5. Without a model all rows stay."""
+    """Rows of docs with a score under 0.5, their columns as they are, whatever their names.
+
+    Every row is judged by its own whole text: rows that repeat an id or a text are each kept or not; null and empty
+    texts are scored as texts without words. Without a model all rows stay; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep():

@@ -113,6 +113,19 @@ def test_toxicity(spark):
     assert kept.columns == d.columns and {x.doc_id for x in kept.collect()} == {i for i, x in got.items() if not x.predicted}
     assert toxicity.fit(docs(spark, []), marks.limit(0)) is None
     assert toxicity.score(docs(spark, []), None).count() == 0
+    # brute-force convolution: every place of every filter, zeros past the end
+    reader = toxicity.Reader(len(model.emb))
+    for t in (rows[0][1], "one", "", words(30, 5)):
+        w = [sum(model.emb[k] for k in toxicity._rows(x, len(model.emb)) if k) / sum(k > 0 for k in toxicity._rows(x, len(model.emb))) for x in toxicity._WORD.findall(t)]
+        at = lambda i: w[i] if i < len(w) else np.zeros(model.emb.shape[1])
+        z = model.bias
+        if w:
+            pooled = [max(np.concatenate([at(i + j) for j in range(len(k) // model.emb.shape[1])]) @ k[:, f] + b[f] for i in range(len(w))) for k, b in model.filters for f in range(len(b))]
+            z += sum(max(p, 0) * o for p, o in zip(pooled, model.out))
+        lang = int(np.argmax(np.sum(w, 0) @ model.centres.T)) if w and len(model.langs) else -1
+        p, cut = 1 / (1 + np.exp(-z)), model.cuts[lang]
+        want = 0.5 * p / cut if p < cut else 0.5 + 0.5 * (p - cut) / (1 - cut)
+        assert toxicity.probabilities([t], model, reader)[0] == pytest.approx(want, abs=1e-4)
     # pieces of a long text agree with the text at once
     seq = [np.random.default_rng(0).integers(0, 50, 1000)]
     known = np.random.default_rng(1).normal(size=(50, model.emb.shape[1])).astype(np.float32)
@@ -148,6 +161,46 @@ def test_bundle_is_the_sum_of_bound_letters():
     assert np.allclose(langid.bundle([text, None, ""], dim)[0], want / np.linalg.norm(want), atol=1e-5)
 
 
+def test_letters():
+    assert not any(map(langid.has_letter, [None, "", "½ ² ① Ⅷ ३ 12 _ !", "\u0301"]))
+    assert all(map(langid.has_letter, ["ª", "é", "中", "1a", "ʰ"]))
+
+
+def test_prediction_against_brute_force():
+    dim, texts, langs = 256, ["banana cabana savanna", "ostrich wolf moss", "a banana", "storks"], ["aa", "bb", "aa", "bb"]
+
+    def unit(text):
+        clean = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        v = np.zeros(dim)
+        for a, b, c in zip(clean, clean[1:], clean[2:]):
+            x, y, z = (langid._letter(ord(k), dim).astype(float) for k in (a, b, c))
+            v += [x[(i - 2) % dim] * y[(i - 1) % dim] * z[i] for i in range(dim)]
+        return v / np.linalg.norm(v)
+
+    p = langid.train(texts, langs, dim, epochs=0)
+    sums = [unit(texts[0]) + unit(texts[2]), unit(texts[1]) + unit(texts[3])]
+    prototypes = [s / np.linalg.norm(s) for s in sums]
+    assert p.langs == ("aa", "bb") and np.allclose(p.prototypes, prototypes, atol=1e-5)
+    asked = ["a 1st cabana!", "mossy STORK", "²", None]
+    pred, score = langid.identify(asked, p)
+    for t, got, share in zip(asked[:2], pred, score):
+        cos = np.array([unit(t.replace("1", " ")) @ q for q in prototypes])
+        e = np.exp(p.sharpness * (cos - cos.max()))
+        assert got == ("aa", "bb")[int(cos.argmax())] and share == pytest.approx(e.max() / e.sum(), abs=1e-4)
+    assert pred[2:] == ["und", "und"] and list(score[2:]) == [0, 0]
+
+
+def test_language_floor():
+    r = random.Random(0)
+    vocabulary = {"aa": [f"{a}na{b}" for a in "bcsm" for b in "nst"], "bb": [f"{a}or{b}ch" for a in "stw" for b in "ikl"]}
+    texts = [" ".join(r.choices(vocabulary[g], k=12)) for g in ("aa", "bb") * 60]
+    p = langid.train(texts, ["aa", "bb"] * 60)
+    fresh = [" ".join(r.choices(vocabulary[g], k=12)) for g in ("aa", "bb") * 100]
+    assert all(langid.known(fresh, p))
+    junk = ["".join(r.choices("qzxjvkwpfg", k=80)) for _ in range(50)]
+    assert not any(langid.known(junk, p)) and langid.known(["x", None, "12"], p) == [True, False, False]
+
+
 # --- nearest neighbours ---
 
 
