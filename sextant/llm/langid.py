@@ -9,8 +9,6 @@ the language whose prototype has the largest cosine.
 from __future__ import annotations
 
 import re
-import sys
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,15 +19,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import fold, keep_rows, slices, texts_of
 
 UNKNOWN = "und"
-
-
-def _not_letter() -> re.Pattern:
-    """Runs without a letter (category L): \\w also takes in numbers such as fractions and circled ones."""
-    numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))
-    return re.compile(rf"[\W\d_{numbers}]+")
-
-
-_NOT_LETTER = _not_letter()
+#: Runs without a letter, but for numbers such as fractions and circled ones, which are told by str.isalpha.
+_NOT_LETTER, _MAYBE_LETTER = re.compile(r"[\W\d_]+"), re.compile(r"[^\W\d_]")
 _PIECE = 1 << 20
 #: Text lengths are told apart by powers of two up to this; a floor needs so many labelled texts of its length.
 _SIZES, _FLOOR_TEXTS = 24, 20
@@ -59,13 +50,17 @@ def _letter(code: int, dim: int) -> np.ndarray:
 
 def _codes(text: str) -> Iterator[np.ndarray]:
     """Code points of the lower-cased letters, runs of anything else as one space, in pieces that overlap by two."""
-    clean = " " + _NOT_LETTER.sub(" ", text.lower()).strip() + " "
+    clean = _NOT_LETTER.sub(" ", text.lower())
+    if not clean.replace(" ", "").isalpha():
+        clean = " ".join("".join(c if c.isalpha() else " " for c in clean).split())
+    clean = " " + clean.strip() + " "
     for at in range(0, len(clean) - 2, _PIECE):
         yield np.frombuffer(clean[at : at + _PIECE + 2].encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and bool(_NOT_LETTER.sub("", text))
+    """Whether text holds a character of category L."""
+    return bool(text) and any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text))
 
 
 def bundle(texts: list[str | None], dim: int) -> np.ndarray:
@@ -156,7 +151,8 @@ def train(texts: list[str], langs: list[str], dim: int = 1024, epochs: int = 8)
     cos = x @ best.T
     gap = np.median(np.partition(cos, -1, axis=1)[:, -1] - (np.partition(cos, -2, axis=1)[:, -2] if len(names) > 1 else 0))
     size, most = _sizes(texts), cos.max(1)
-    floors = np.array([most[size == b].min() / 2 if (size == b).sum() >= _FLOOR_TEXTS else -1.0 for b in range(_SIZES)])
+    noise = 2.5 / np.sqrt(dim)  # a random vector seldom comes as near
+    floors = np.array([min(most[size == b].min() / 2, noise) if (size == b).sum() >= _FLOOR_TEXTS else -1.0 for b in range(_SIZES)])
     return Profiles(names, best.astype(np.float32), float(6 / max(gap, 1e-3)), floors)
 
 
@@ -189,7 +185,7 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
 
 def known(texts: list[str | None], profiles: Profiles) -> list[bool]:
-    """Whether a text has a letter and its best cosine reaches half of the least one of labelled texts of about its length."""
+    """Whether a text has a letter and comes nearer to a profile than chance: by half as much as any labelled text of about its length, or 2.5 standard deviations of a random vector's cosine."""
     out = [has_letter(t) for t in texts]
     if len(profiles.langs) and any(out):
         most = (bundle(texts, profiles.prototypes.shape[1]) @ profiles.prototypes.T).max(1)
