@@ -1,8 +1,8 @@
 """URL filters: host rules first, gradient-boosted trees on lexical features for the rest. DataFrame operations only.
 
-Features are binned, so all labelled URLs collapse into counts for each combination of bins (their number is bounded by
-the product of the bins, whatever the input). The trees are fitted on those counts, exactly as on the rows, and come
-back as nested CASE expressions over the bins.
+Features are binned and labelled URLs are counted for each combination of bins. The trees are fitted on those counts,
+exactly as on the rows, and come back as nested CASE expressions over the bins. Statistics of suffixes (the last two
+labels of the host, the last one, and the first segment of the path) are block rates over all labelled URLs.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import let
@@ -22,10 +23,16 @@ _CUTS: dict[str, tuple[float, ...]] = {
     "depth": (1, 2, 3, 4),
     "digits": (0.02, 0.05, 0.08, 0.12, 0.2),
     "entropy": (2.5, 3.0, 3.25, 3.5, 3.75),
+    "path_entropy": (1.5, 2.0, 2.5, 3.0, 3.5),
     "params": (1, 2),
     "labels": (3, 4),
     "hyphens": (1, 2),
+    "segment": (1, 2, 3, 4, 8),
+    "lead": tuple(range(1, 12)),
 }
+#: Kinds of suffix statistics, each a feature of its own.
+_KINDS = ("domain", "top", "first")
+_NEUTRAL = 3
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -46,23 +53,37 @@ def apply_rules(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
     return rule, verdict
 
 
-def features(url: Column, host: Column, path: Column) -> dict[str, Column]:
-    raw = F.coalesce(url, F.lit(""))
-    n = F.greatest(F.length(raw), F.lit(1))
-
+def _entropy(text: Column) -> Column:
+    """Bits for each character; 0 for empty."""
     def spread(h: Column) -> Column:
         share = lambda c: (F.length(h) - F.length(F.replace(h, c, F.lit("")))) / F.length(h)
         chars = F.array_distinct(F.filter(F.split(h, ""), lambda c: c != ""))
         return F.aggregate(chars, F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
 
-    entropy = F.when(F.length(host) > 0, let(host, spread)).otherwise(0.0)
+    return F.when(F.length(text) > 0, let(text, spread)).otherwise(0.0)
+
+
+def features(url: Column, host: Column, path: Column) -> dict[str, Column]:
+    """lead: 0 without a second segment, 1 to 10 for its first digit, 11 for another first character. segment: length of the first one."""
+    raw = F.coalesce(url, F.lit(""))
+    n = F.greatest(F.length(raw), F.lit(1))
     query = F.regexp_extract(raw, r"(?s)^[^?#]*\?([^#]*)", 1)
+    lead = F.regexp_extract(path, r"(?s)^/+[^/]+/+([^/])", 1)
     return {
         "length": F.length(raw), "depth": F.size(F.filter(F.split(path, "/"), lambda s: s != "")), "digits": F.length(F.regexp_replace(raw, "[^0-9]", "")) / n,
-        "entropy": entropy, "params": F.when(query == "", 0).otherwise(F.size(F.split(query, "&"))), "labels": F.size(F.split(host, r"\.")), "hyphens": F.length(host) - F.length(F.replace(host, F.lit("-"), F.lit(""))),
+        "entropy": _entropy(host), "path_entropy": _entropy(path), "params": F.when(query == "", 0).otherwise(F.size(F.split(query, "&"))), "labels": F.size(F.split(host, r"\.")),
+        "hyphens": F.length(host) - F.length(F.replace(host, F.lit("-"), F.lit(""))), "segment": F.length(_first(path)), "lead": F.when(lead == "", 0).when(lead.rlike("^[0-9]$"), F.ascii(lead) - 47).otherwise(11),
     }
 
 
+def _first(path: Column) -> Column:
+    return F.regexp_extract(path, r"(?s)^/+([^/]+)", 1)
+
+
+def _suffixes(host: Column, path: Column) -> dict[str, Column]:
+    return {"domain": F.substring_index(host, ".", -2), "top": F.substring_index(host, ".", -1), "first": _first(path)}
+
+
 def _bin(value: Column, cuts: tuple[float, ...]) -> Column:
     expr = None
     for i in reversed(range(len(cuts))):
@@ -72,57 +93,69 @@ def _bin(value: Column, cuts: tuple[float, ...]) -> Column:
 
 @dataclass(frozen=True)
 class Trees:
-    """suffixes: block rate bin of known host suffixes; trees: nested (feature, cut, left, right) with leaf values."""
+    """suffixes: (kind, value, bin of block rate); trees: nested (feature, cut, left, right) with leaf values."""
 
-    suffixes: tuple[tuple[str, int], ...]
+    suffixes: tuple[tuple[str, str, int], ...]
     trees: tuple
     base: float
 
 
-def _suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+NAMES = (*_CUTS, *_KINDS)
 
 
-def _binned(df: DataFrame, suffixes) -> DataFrame:
+def binned(df: DataFrame, suffixes) -> DataFrame:
     """df (url, host, path, ...) with one int column b_<feature> for each feature."""
     made = {f"f_{k}": v for k, v in features(F.col("url"), F.col("host"), F.col("path")).items()}
     df = df.withColumns(made).withColumns({f"b_{k}": _bin(F.col(f"f_{k}"), c) for k, c in _CUTS.items()}).drop(*made)
-    rate = None
-    for s, b in suffixes:
-        rate = F.when(_suffix(F.col("host")) == s, b) if rate is None else rate.when(_suffix(F.col("host")) == s, b)
-    return df.withColumn("b_suffix", (F.lit(2) if rate is None else rate.otherwise(2)).cast("int"))
+    rates = {}
+    for kind, value in _suffixes(F.col("host"), F.col("path")).items():
+        known = [x for k, v, b in suffixes if k == kind for x in (F.lit(v), F.lit(b))]
+        rates[f"b_{kind}"] = F.coalesce(F.try_element_at(F.create_map(*known), value), F.lit(_NEUTRAL)).cast("int") if known else F.lit(_NEUTRAL)
+    return df.withColumns(rates)
 
 
-def _grow(rows: list[tuple[dict, float, float]], names: list[str], depth: int):
-    """Regression tree on (bins, gradient, hessian), by gain with L2 of 1."""
-    g, h = sum(r[1] for r in rows), sum(r[2] for r in rows)
-    leaf = -g / (h + 1.0)
-    if not depth or h < 2:
+def grow(bins: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int):
+    """Regression tree on binned rows with gradients and hessians, by gain with L2 of 1; of equal gains the first feature, then the smallest cut."""
+    leaf = -float(g.sum()) / (float(h.sum()) + 1.0)
+    if not depth or h.sum() < 2:
         return leaf
-    best = (1e-6, None, 0)
-    for name in names:
-        sums: dict[int, list[float]] = {}
-        for b, gi, hi in rows:
-            s = sums.setdefault(b[name], [0.0, 0.0])
-            s[0] += gi
-            s[1] += hi
-        lg = lh = 0.0
-        for k in sorted(sums)[:-1]:
-            lg, lh = lg + sums[k][0], lh + sums[k][1]
-            gain = lg**2 / (lh + 1) + (g - lg) ** 2 / (h - lh + 1) - g**2 / (h + 1)
-            if gain > best[0] + 1e-12:
-                best = (gain, name, k + 1)
-    _, name, cut = best
-    if name is None:
+    best, all_g, all_h = (1e-6, None, 0), g.sum(), h.sum()
+    for f in range(bins.shape[1]):
+        lg, lh = (np.cumsum(np.bincount(bins[:, f], w))[:-1] for w in (g, h))
+        if len(lg):
+            gain = lg**2 / (lh + 1) + (all_g - lg) ** 2 / (all_h - lh + 1) - all_g**2 / (all_h + 1)
+            at = int((gain > gain.max() - 1e-9).argmax())
+            if gain[at] > best[0] + 1e-9:
+                best = (gain[at], f, at + 1)
+    _, f, cut = best
+    if f is None:
         return leaf
-    left, right = [r for r in rows if r[0][name] < cut], [r for r in rows if r[0][name] >= cut]
-    return (name, cut, _grow(left, names, depth - 1), _grow(right, names, depth - 1))
+    left = bins[:, f] < cut
+    return (NAMES[f], cut, grow(bins[left], g[left], h[left], depth - 1), grow(bins[~left], g[~left], h[~left], depth - 1))
 
 
-def _leaf(tree, bins: dict) -> float:
-    while isinstance(tree, tuple):
-        tree = tree[2] if bins[tree[0]] < tree[1] else tree[3]
-    return tree
+def leaves(tree, bins: np.ndarray) -> np.ndarray:
+    """The tree's value for each row."""
+    if not isinstance(tree, tuple):
+        return np.full(len(bins), tree)
+    left = bins[:, NAMES.index(tree[0])] < tree[1]
+    out = np.empty(len(bins))
+    out[left], out[~left] = leaves(tree[2], bins[left]), leaves(tree[3], bins[~left])
+    return out
+
+
+def boost(bins: np.ndarray, n: np.ndarray, blocked: np.ndarray, rounds: int, depth: int, rate: float) -> tuple[float, tuple]:
+    """(base, trees) of cells with n URLs each, `blocked` of them blocked."""
+    if not n.sum():
+        return -1.0, ()
+    base = math.log((blocked.sum() + 0.5) / (n.sum() - blocked.sum() + 0.5))
+    score, trees = np.full(len(n), base), []
+    scaled = lambda t: (t[0], t[1], scaled(t[2]), scaled(t[3])) if isinstance(t, tuple) else rate * t
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-score))
+        trees.append(scaled(grow(bins, n * p - blocked, n * p * (1 - p), depth)))
+        score = score + leaves(trees[-1], bins)
+    return base, tuple(trees)
 
 
 def _case(tree) -> Column:
@@ -132,29 +165,26 @@ def _case(tree) -> Column:
     return F.when(F.col(f"b_{name}") < cut, _case(left)).otherwise(_case(right))
 
 
-def fit(labelled: DataFrame, rounds: int = 20, depth: int = 3, rate: float = 0.3, suffixes: int = 256) -> Trees:
-    """Trees from every row of (url, host, path, block int); null labels are left out.
+def fit(labelled: DataFrame, rounds: int = 16, depth: int = 4, rate: float = 0.4, suffixes: int = 256, sample: int = 200_000) -> Trees:
+    """Trees from rows of (url, host, path, block int); null labels are left out.
 
-    Suffix statistics are kept for the `suffixes` most frequent suffixes of labelled hosts (a bound of the model); all
-    others count as unknown. Without labels the base is even and nothing is blocked.
+    Suffix statistics are over all of them and kept for the `suffixes` most frequent ones (a bound of the model); all
+    others are neutral. The trees are fitted on about `sample` labelled rows at most, by hash of the url: all, if there
+    are no more. Without labels the base is even and nothing is blocked.
     """
     labelled = labelled.filter("block is not null")
-    top = labelled.groupBy(_suffix(F.col("host")).alias("s")).agg(F.count("*").alias("n"), F.sum("block").alias("k")).orderBy(F.desc("n"), "s").limit(suffixes).collect()
-    bins = tuple((r.s, min(4, int(5 * (r.k + 1) / (r.n + 2)))) for r in top)
-    names = [*_CUTS, "suffix"]
-    counts = _binned(labelled, bins).groupBy(*[f"b_{k}" for k in names]).agg(F.count("*").alias("n"), F.sum("block").alias("k")).collect()
-    cells = sorted((tuple(r[f"b_{k}"] for k in names), r.n, r.k) for r in counts)
-    total, blocked = sum(c[1] for c in cells), sum(c[2] for c in cells)
-    base = math.log((blocked + 0.5) / (total - blocked + 0.5)) if total else -1.0
-    score, trees = [base] * len(cells), []
-    rows = [dict(zip(names, c[0])) for c in cells]
-    for _ in range(rounds if total else 0):
-        p = [1 / (1 + math.exp(-s)) for s in score]
-        tree = _grow([(b, c[1] * q - c[2], c[1] * q * (1 - q)) for b, c, q in zip(rows, cells, p)], names, depth)
-        trees.append(tree)
-        score = [s + rate * _leaf(tree, b) for s, b in zip(score, rows)]
-    scaled = lambda t: (t[0], t[1], scaled(t[2]), scaled(t[3])) if isinstance(t, tuple) else rate * t
-    return Trees(bins, tuple(scaled(t) for t in trees), base)
+    kinds = [F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in _suffixes(F.col("host"), F.col("path")).items()]
+    rates = labelled.select("block", F.explode(F.array(F.struct(F.lit("").alias("kind"), F.lit("").alias("value")), *kinds)).alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.sum("block").alias("k"))
+    top = [(r.s.kind, r.s.value, r.n, r.k) for r in rates.orderBy(F.desc("n"), "s").limit(suffixes + 1).collect()]
+    total = next((n for kind, _, n, _ in top if not kind), 0)
+    # rates in seven bins: the outer ones are for suffixes of one verdict
+    bins = tuple((kind, v, 0 if not k else 6 if k == n else 1 + min(4, int(5 * k / n))) for kind, v, n, k in sorted(top) if kind)
+    if total > sample:
+        labelled = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int((1 << 30) * sample / total))
+    cells = binned(labelled, bins).groupBy(*[f"b_{k}" for k in NAMES]).agg(F.count("*").alias("n"), F.sum("block").alias("k")).collect() if total else []
+    cells = np.array(sorted(tuple(r) for r in cells), np.int64).reshape(-1, len(NAMES) + 2)
+    base, trees = boost(cells[:, :-2], cells[:, -2].astype(float), cells[:, -1].astype(float), rounds, depth, rate)
+    return Trees(bins, trees, base)
 
 
 def score(df: DataFrame, model: Trees) -> DataFrame:
@@ -162,8 +192,23 @@ def score(df: DataFrame, model: Trees) -> DataFrame:
     z = F.lit(model.base)
     for t in model.trees:
         z = z + _case(t)
-    out = _binned(df, model.suffixes)
-    return out.withColumn("score", 1 / (1 + F.exp(-z))).drop(*[f"b_{k}" for k in [*_CUTS, "suffix"]])
+    return binned(df, model.suffixes).withColumn("score", 1 / (1 + F.exp(-z))).drop(*[f"b_{k}" for k in NAMES])
+
+
+def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
+    """(page_id, url, host, path, rule, ruled, block) of every row; ruled is the rule's verdict, block that as a number."""
+    host, path = split_url(F.col("url"))
+    rows = pages.select("page_id", "url").withColumns({"host": host, "path": path})
+    rule, verdict = apply_rules(F.col("host"), F.col("path"), rules)
+    return rows.withColumns({"rule": rule, "ruled": verdict}).withColumn("block", (F.col("ruled") == "block").cast("int"))
+
+
+def held_out(pages: DataFrame, rules=RULES, folds: int = 5) -> DataFrame:
+    """(rule, n, right): how the trees, fitted on the other hosts, judge the labelled URLs of one fold of hosts, by rule."""
+    rows = ruled(pages, rules).filter("rule is not null")
+    out = F.crc32(F.col("host").cast("binary")) % folds == 0
+    right = ((F.col("score") >= 0.5).cast("int") == F.col("block")).cast("int")
+    return score(rows.filter(out), fit(rows.filter(~out))).groupBy("rule").agg(F.count("*").alias("n"), F.sum(right).alias("right"))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -173,9 +218,5 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     host and path, no rule, and the trees' verdict. Ties between equally long rules go to the first listed; repeated
     rows each get their result; an empty table gives none. Other columns are ignored.
     """
-    host, path = split_url(F.col("url"))
-    rows = pages.select("page_id", "url").withColumns({"host": host, "path": path})
-    rule, verdict = apply_rules(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "ruled": verdict})
-    model = fit(rows.filter("rule is not null").withColumn("block", (F.col("ruled") == "block").cast("int")))
-    return score(rows, model).select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
+    rows = ruled(pages, rules)
+    return score(rows, fit(rows.filter("rule is not null"))).select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
