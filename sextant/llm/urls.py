@@ -84,11 +84,13 @@ def _suffixes(host: Column, path: Column) -> dict[str, Column]:
     return {"domain": F.substring_index(host, ".", -2), "top": F.substring_index(host, ".", -1), "first": _first(path)}
 
 
-def _bin(value: Column, cuts: tuple[float, ...]) -> Column:
-    expr = None
-    for i in reversed(range(len(cuts))):
-        expr = F.when(value >= cuts[i], i + 1) if expr is None else expr.when(value >= cuts[i], i + 1)
-    return expr.otherwise(0).cast("int")
+def _bin(name: str, cuts: tuple[float, ...]) -> Column:
+    cases = " ".join(f"WHEN f_{name} >= {cuts[i]} THEN {i + 1}" for i in reversed(range(len(cuts))))
+    return F.expr(f"CASE {cases} ELSE 0 END")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 @dataclass(frozen=True)
@@ -106,12 +108,11 @@ NAMES = (*_CUTS, *_KINDS)
 def binned(df: DataFrame, suffixes) -> DataFrame:
     """df (url, host, path, ...) with one int column b_<feature> for each feature."""
     made = {f"f_{k}": v for k, v in features(F.col("url"), F.col("host"), F.col("path")).items()}
-    df = df.withColumns(made).withColumns({f"b_{k}": _bin(F.col(f"f_{k}"), c) for k, c in _CUTS.items()}).drop(*made)
-    rates = {}
+    columns = {f"b_{k}": _bin(k, c) for k, c in _CUTS.items()}
     for kind, value in _suffixes(F.col("host"), F.col("path")).items():
-        known = [x for k, v, b in suffixes if k == kind for x in (F.lit(v), F.lit(b))]
-        rates[f"b_{kind}"] = F.coalesce(F.try_element_at(F.create_map(*known), value), F.lit(_NEUTRAL)).cast("int") if known else F.lit(_NEUTRAL)
-    return df.withColumns(rates)
+        known = ", ".join(f"{_quoted(v)}, {b}" for k, v, b in suffixes if k == kind)
+        columns[f"b_{kind}"] = F.coalesce(F.try_element_at(F.expr(f"map({known})"), value), F.lit(_NEUTRAL)) if known else F.lit(_NEUTRAL)
+    return df.withColumns(made).select(*df.columns, *[c.alias(k) for k, c in columns.items()])
 
 
 def grow(bins: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int):
@@ -158,14 +159,14 @@ def boost(bins: np.ndarray, n: np.ndarray, blocked: np.ndarray, rounds: int, dep
     return base, tuple(trees)
 
 
-def _case(tree) -> Column:
+def _case(tree) -> str:
     if not isinstance(tree, tuple):
-        return F.lit(float(tree))
+        return f"{float(tree)!r}D"
     name, cut, left, right = tree
-    return F.when(F.col(f"b_{name}") < cut, _case(left)).otherwise(_case(right))
+    return f"CASE WHEN b_{name} < {cut} THEN {_case(left)} ELSE {_case(right)} END"
 
 
-def fit(labelled: DataFrame, rounds: int = 16, depth: int = 4, rate: float = 0.4, suffixes: int = 256, sample: int = 200_000) -> Trees:
+def fit(labelled: DataFrame, rounds: int = 10, depth: int = 3, rate: float = 0.5, suffixes: int = 256, sample: int = 200_000) -> Trees:
     """Trees from rows of (url, host, path, block int); null labels are left out.
 
     Suffix statistics are over all of them and kept for the `suffixes` most frequent ones (a bound of the model); all
@@ -189,10 +190,8 @@ def fit(labelled: DataFrame, rounds: int = 16, depth: int = 4, rate: float = 0.4
 
 def score(df: DataFrame, model: Trees) -> DataFrame:
     """df (url, host, path, ...) with score, the probability of block by the trees."""
-    z = F.lit(model.base)
-    for t in model.trees:
-        z = z + _case(t)
-    return binned(df, model.suffixes).withColumn("score", 1 / (1 + F.exp(-z))).drop(*[f"b_{k}" for k in NAMES])
+    z = F.expr(" + ".join([f"{model.base!r}D", *map(_case, model.trees)]))
+    return binned(df, model.suffixes).select(*[c for c in df.columns if c != "score"], (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
