@@ -67,6 +67,9 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.",),
     "CC0-1.0": ("Released into the public domain under CC0 1.0.", _text("CC0-1.0")),
+    "Zlib": ("Licensed under the zlib License.", "Released under the zlib License.", _text("Zlib")),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.", _text("BSL-1.0")),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.", _text("Unlicense")),
 }
 
 #: Phrases that tell a license from its neighbours: those that stand in a template must be found word by word, so that
@@ -85,6 +88,9 @@ NAMES: dict[str, tuple[str, ...]] = {
     "CC-BY-NC-4.0": ("cc by nc 4.0", "creative commons attribution noncommercial 4.0"),
     "CC-BY-ND-4.0": ("cc by nd 4.0",),
     "CC0-1.0": ("cc0 1.0",),
+    "Zlib": ("zlib license", "altered source versions must be plainly marked"),
+    "BSL-1.0": ("boost software license version 1.0",),
+    "Unlicense": ("free and unencumbered software",),
 }
 
 #: Templates of so many words are also looked for over the whole text, however far their words lie apart.

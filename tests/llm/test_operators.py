@@ -293,6 +293,39 @@ def test_license_scan(spark):
     assert licenses.scan_docs(docs(spark, [])).count() == 0
 
 
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_coverage_against_longest_common_subsequence():
+    r = random.Random(11)
+    s = licenses.Scanner()
+    for name in ("MIT", "BSD-3-Clause", "ISC", "Zlib", "BSL-1.0", "Unlicense"):
+        t = licenses.tokens(licenses._text(name))
+        for lost in (0.05, 0.1, 0.35):  # a share of words goes, as many strange ones come
+            doc = [f"q{r.randrange(50)}" if r.random() < lost else w for w in t]
+            doc = words(40, 1).split() + doc + words(40, 2).split()
+            most = lcs(doc, t)
+            pairs = licenses.align(doc, t)
+            assert 0.97 * most <= len(pairs) <= most
+            found = [f for f in s.scan(" ".join(doc)) if f[0] == name and f[3] - f[2] > len(t) // 2]
+            names = [licenses.tokens(p) for p in licenses.NAMES.get(name, ()) if licenses._places(licenses.tokens(p), t)]
+            named = all(licenses._places(p, doc) for p in names)
+            assert bool(found) == (named and most >= 0.8 * len(t)), (name, lost)
+            assert all(f[1] <= most / len(t) + 1e-9 for f in found)
+
+
+def test_license_in_a_long_text(spark):
+    mit = licenses._text("MIT")
+    d = docs(spark, [(1, words(80_000, 3) + " " + mit + " " + words(80_000, 4)), (2, mit.upper()), (3, "licensed " * 20_000)]).withColumns({c: F.lit(1) for c in ("license", "coverage", "matches", "n_matches")})
+    assert sorted((x.doc_id, x.license, x.n_matches) for x in licenses.scan_docs(d).collect()) == [(1, "MIT", 1), (2, "MIT", 1), (3, None, 0)]
+
+
 # --- urls ---
 
 
