@@ -42,9 +42,9 @@ def scan_documents(spark, sf):
     return d.select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source"), F.lit("txt").alias("type"), F.length("text").cast("bigint").alias("n"))
 
 
-@query("SELECT 'q' || item_id::VARCHAR AS q_id, substr(text, 1, 120) AS question, 'doc_' || item_id::VARCHAR AS gold_doc FROM benchmark")
+@query("SELECT 'q' || item_id::VARCHAR AS q_id, text AS question, 'doc_' || item_id::VARCHAR AS gold_doc FROM benchmark")
 def questions_scan(spark, sf):
-    return table(spark, sf, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("q_id"), F.substring("text", 1, 120).alias("question"), F.concat(F.lit("doc_"), F.col("item_id").cast("string")).alias("gold_doc"))
+    return table(spark, sf, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("q_id"), F.col("text").alias("question"), F.concat(F.lit("doc_"), F.col("item_id").cast("string")).alias("gold_doc"))
 
 
 @query("SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -237,7 +237,7 @@ def span_load(spark, sf):
     return _spans(spark, sf).select("q_id", "chunk_id", "rank", "span_text")
 
 
-_CANDIDATES = "cand AS (SELECT b.item_id AS q_id, substr(b.text, 1, 120) AS question, d.doc_id AS c_id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS rank0, substr(d.text, 1, 4000) AS text FROM benchmark b JOIN documents d ON d.doc_id // 20 = b.item_id WHERE d.text IS NOT NULL)"
+_CANDIDATES = "cand AS (SELECT b.item_id AS q_id, b.text AS question, d.doc_id AS c_id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS rank0, d.text AS text FROM (SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS at, count(*) OVER () AS n FROM benchmark) b JOIN documents d ON ((d.doc_id % b.n) + b.n) % b.n = b.at WHERE d.text IS NOT NULL)"
 _BM25 = rf"""{_CANDIDATES}, tok AS (SELECT q_id, c_id, rank0, {_TOKENS.format('text')} AS t FROM cand), n AS (SELECT q_id, count(*) AS n, avg(len(t)) AS avgdl FROM tok GROUP BY 1),
 tf AS (SELECT q_id, c_id, dl, term, count(*) AS tf FROM (SELECT q_id, c_id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY ALL), df AS (SELECT q_id, term, count(*) AS df FROM tf GROUP BY ALL),
 idf0 AS (SELECT q_id, term, avgdl, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df JOIN n USING (q_id)), m AS (SELECT q_id, avg(idf) AS mi FROM idf0 GROUP BY 1),
@@ -249,20 +249,8 @@ scored AS (SELECT q_id, c_id, rank0, round(coalesce(s, 0.0), 6) AS score FROM to
 
 @query(f"WITH {_BM25} SELECT q_id, c_id, rank0::INT AS rank0, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, rank0)::INT AS rank FROM scored")
 def bm25_rerank(spark, sf):
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("q_id"), F.substring("text", 1, 120).alias("question"))
-    d = table(spark, sf, "documents").filter("text is not null").select(F.floor(F.col("doc_id") / 20).alias("q_id"), F.col("doc_id").alias("c_id"), F.substring("text", 1, 4000).alias("text"))
-    c = d.join(b, "q_id").withColumn("rank0", F.row_number().over(Window.partitionBy("q_id").orderBy("c_id")))
-    return retrieval.bm25_rerank(c)
-
-
-_NUMBERED = "SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS at, count(*) OVER () AS n FROM benchmark"
-_WHOLE_CANDIDATES = f"cand AS (SELECT b.item_id AS q_id, substr(b.text, 1, 120) AS question, d.doc_id AS c_id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS rank0, d.text AS text FROM ({_NUMBERED}) b JOIN documents d ON ((d.doc_id % b.n) + b.n) % b.n = b.at WHERE d.text IS NOT NULL)"
-
-
-@query(f"WITH {_BM25.replace(_CANDIDATES, _WHOLE_CANDIDATES)} SELECT q_id, c_id, rank0::INT AS rank0, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, rank0)::INT AS rank FROM scored")
-def bm25_rerank_whole(spark, sf):
-    """bm25_rerank over the whole texts of all documents, dealt out to the items by doc_id."""
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("q_id"), F.substring("text", 1, 120).alias("question"))
+    """Whole texts of all documents, dealt out to the items as candidates by doc_id."""
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("question"))
     b = b.withColumn("at", F.row_number().over(Window.orderBy("q_id")) - 1)
     d = table(spark, sf, "documents").filter("text is not null").select(F.pmod("doc_id", F.lit(max(1, b.count()))).alias("at"), F.col("doc_id").alias("c_id"), "text")
     c = d.join(b, "at").withColumn("rank0", F.row_number().over(Window.partitionBy("q_id").orderBy("c_id")))
@@ -270,13 +258,19 @@ def bm25_rerank_whole(spark, sf):
 
 
 def _retrieved(spark, sf) -> DataFrame:
-    docs = table(spark, sf, "documents").withColumnRenamed("doc_id", "source_id").select("source_id", "text")
-    index = _index(spark, sf).withColumns({"source_id": F.col("chunk_id"), "chunk_start": F.lit(0), "chunk_end": F.lit(400)})
+    """Chunks of whole documents, each with its document's vector."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), "text")
+    chunks = chunking.simple(table(spark, sf, "documents"), ["doc_id"]).drop("chunk_text")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    index = chunks.join(vectors, "doc_id").select((F.col("doc_id") * 1_000_000 + F.col("chunk_index")).alias("chunk_id"), "embedding", F.col("doc_id").alias("source_id"), "chunk_start", "chunk_end")
     q = _asked(spark, sf).withColumn("question", F.concat(F.lit("question "), F.col("q_id").cast("string")))
     return pipeline.retrieve(Config(), index, q, docs, "source_id")
 
 
-_RETRIEVED = _NEAR + ", ctx AS (SELECT q_id, chunk_id, dist, rank AS r0, " + _STRIP.format("substr(d.text, 1, 400)") + " AS context FROM near JOIN documents d ON d.doc_id = chunk_id), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY r0) AS rank FROM ctx WHERE context <> '') WHERE rank <= 5)"
+_RETRIEVED = f"""{_SIMPLE_KEPT}, v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, {_SQ.format('embedding')} AS n FROM embeddings WHERE embedding IS NOT NULL),
+by_doc AS (SELECT q.vec_id AS q_id, i.vec_id AS doc_id, round(greatest(0.0, 1 - list_inner_product(q.e, i.e) / (q.n * i.n)), 6) AS dist FROM v q, v i WHERE q.vec_id % 50 = 0 AND q.n > 0 AND i.n > 0),
+hits AS (SELECT * FROM (SELECT q_id, doc_id * 1000000 + chunk_index AS chunk_id, dist, chunk_text, row_number() OVER (PARTITION BY q_id ORDER BY dist, doc_id * 1000000 + chunk_index) AS r0 FROM by_doc JOIN simple USING (doc_id)) WHERE r0 <= 20),
+ctx AS (SELECT q_id, chunk_id, dist, r0, {_STRIP.format('chunk_text')} AS context FROM hits), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY r0) AS rank FROM ctx WHERE context <> '') WHERE rank <= 5)"""
 
 
 @query(f"WITH {_RETRIEVED} SELECT q_id, chunk_id, rank::INT AS rank, dist, context FROM top")
@@ -295,9 +289,9 @@ def answer_batch(spark, sf):
     return retrieval.answer(prompts, retrieval.first_sentence)
 
 
-@query("SELECT 'q' || b.item_id::VARCHAR AS q_id, substr(b.text, 1, 120) AS question, d.lang AS answer, d.source AS gold_doc FROM benchmark b JOIN documents d ON d.doc_id = b.item_id")
+@query("SELECT 'q' || b.item_id::VARCHAR AS q_id, b.text AS question, d.lang AS answer, d.source AS gold_doc FROM benchmark b JOIN documents d ON d.doc_id = b.item_id")
 def answer_join_questions(spark, sf):
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("k"), F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("q_id"), F.substring("text", 1, 120).alias("question"))
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("k"), F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("q_id"), F.col("text").alias("question"))
     a = table(spark, sf, "documents").select(F.col("doc_id").alias("k"), F.col("lang").alias("answer"), F.col("source").alias("gold_doc"))
     return q.join(a, "k").drop("k")
 

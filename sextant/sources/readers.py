@@ -76,15 +76,14 @@ def pick_log(logs: DataFrame, key: str, order: str, cmd: str, stdout: str, needl
 
 
 def write_index(index: DataFrame, path: str, reset: bool = False) -> None:
-    """Append rows whose chunk_id isn't stored yet, or start over."""
+    """Append rows whose chunk_id isn't stored yet, or start over. Rows that repeat a chunk_id are stored once."""
     spark = index.sparkSession
-    if reset:
+    index = index.dropDuplicates(["chunk_id"])
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if reset or not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         index.write.mode("overwrite").parquet(path)
         return
-    try:
-        known = spark.read.parquet(path).select("chunk_id")
-    except Exception:  # noqa: BLE001 - no index yet
-        known = spark.createDataFrame([], "chunk_id string")
+    known = spark.read.parquet(path).select("chunk_id")
     index.join(known, "chunk_id", "left_anti").write.mode("append").parquet(path)
 
 

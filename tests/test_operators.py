@@ -20,8 +20,15 @@ def test_topk_ties_and_small_index(spark):
     for block in (4096, 1):
         got = sorted((r.q_id, r.rank, r.chunk_id, r.dist) for r in retrieval.topk(index, q, block=block).collect())
         assert got == [("q", 1, "a", 0.0), ("q", 2, "b", 0.0), ("q", 3, "c", 1.0)]
-    plan = retrieval.topk(index, q)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+    r = random.Random(3)
+    rows = [(i, [r.choice([-1.0, 0.0, 1.0]) for _ in range(4)] + [0.5]) for i in range(3000)]
+    got = {}
+    for x in retrieval.topk(spark.createDataFrame(rows, "chunk_id long, embedding array<double>"), spark.createDataFrame([("a", rows[0][1]), ("b", rows[5][1])], "q_id string, q_vec array<double>"), k=7).collect():
+        got.setdefault(x.q_id, []).append((x.rank, x.dist, x.chunk_id))
+    for q, v in (("a", rows[0][1]), ("b", rows[5][1])):
+        dist = lambda w: round(max(0, 1 - sum(a * b for a, b in zip(v, w)) / math.hypot(*v) / math.hypot(*w)), 6) + 0.0
+        want = sorted((dist(w), i) for i, w in rows)[:7]
+        assert [(d, i) for _, d, i in sorted(got[q])] == want
 
 
 def test_threshold(spark):
