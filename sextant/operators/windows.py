@@ -89,6 +89,25 @@ def pair_markers(markers: DataFrame, keys: list[str], order: list[str]) -> DataF
     return seen.filter((F.col("mark") == "END") & (F.col("_k") == "START") & (F.col("ts_us") > F.col("start_us"))).select(*keys, "start_us", F.col("ts_us").alias("end_us"))
 
 
+def marker_bases(markers: DataFrame, parent: str, keyed: bool = False) -> DataFrame:
+    """(name, ts_us, mark): markers whose event ends in _START or _END, named <parent>/<rest of the event>.
+
+    keyed tells RETRIEVAL markers apart by their q_id, `unknown` without one.
+    """
+    parts = markers.select("ts_us", F.regexp_extract("event", "^(.*)_(START|END)$", 1).alias("base"), F.regexp_extract("event", "^(.*)_(START|END)$", 2).alias("mark"), F.try_element_at("meta", F.lit("q_id")).alias("q")).filter("mark <> ''")
+    name = F.concat(F.lit(f"{parent}/"), "base")
+    if keyed:
+        name = F.when(F.col("base") == "RETRIEVAL", F.concat(name, F.lit("/"), F.coalesce("q", F.lit("unknown")))).otherwise(name)
+    return parts.select(name.alias("name"), "ts_us", "mark")
+
+
+def sub_windows(markers: DataFrame, parent: str, keyed: bool = False) -> DataFrame:
+    """Windows (name, kind, start_us, end_us, duration_s) between the START and END markers of a log."""
+    # of equal times the START comes first
+    pairs = pair_markers(marker_bases(markers, parent, keyed).withColumn("_o", F.col("mark") == "END"), ["name"], ["ts_us", "_o"])
+    return pairs.select("name", F.lit("sub_window").alias("kind"), "start_us", "end_us", ((F.col("end_us") - F.col("start_us")) / 1e6).alias("duration_s"))
+
+
 def interval_join(samples: DataFrame, windows: DataFrame, bucket_us: int | None = None) -> DataFrame:
     """samples with every window that holds start_us <= ts_us < end_us.
 

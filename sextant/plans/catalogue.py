@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..config import Config
 from ..functions.text import is_blank, py_strip, split_lines, tokenize
 from ..functions.vectors import cosine_distance, l2_normalize, norm
-from ..operators import chunking, retrieval, summary, windows
+from ..operators import chunking, judging, retrieval, summary, windows
 from ..session import configure
 from ..sources import readers
-from . import pipeline, views
+from . import merge, pipeline, views
 from .views import SQL_BUCKETS, SQL_MD, SQL_NORMAL, SQL_SAMPLES, SQL_WINDOWS, table
 
 QUERIES: dict = {}
@@ -302,6 +302,17 @@ def judge_gate(spark, sf):
     return summary.judge_gate(d).drop("contexts")
 
 
+_WORDS = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'))"
+_PART = "CASE WHEN len({0}) = 0 THEN 0.0 ELSE round(len(list_intersect({0}, {1})) / len({0}), 6) END"
+
+
+@query(f"WITH r AS (SELECT d.doc_id AS q_id, b.item_id % 3 <> 0 AS given, {_WORDS.format('b.text')} AS q, {_WORDS.format('d.text')} AS a, {_WORDS.format('b.text')} AS c FROM documents d JOIN benchmark b ON b.item_id = d.doc_id WHERE d.text IS NOT NULL AND b.text IS NOT NULL) SELECT q_id, CASE WHEN given THEN {_PART.format('a', 'c')} END AS faithfulness, {_PART.format('q', 'a')} AS answer_relevancy, CASE WHEN given THEN {_PART.format('c', 'a')} END AS context_utilization FROM r")
+def judge_scores(spark, sf):
+    b = table(spark, sf, "benchmark").filter("text is not null").select(F.col("item_id").alias("q_id"), F.col("text").alias("question"), F.when(F.col("item_id") % 3 != 0, F.array("text")).alias("contexts"))
+    records = b.join(table(spark, sf, "documents").filter("text is not null").select(F.col("doc_id").alias("q_id"), F.col("text").alias("answer")), "q_id")
+    return judging.score(records.select("q_id", "question", "answer", "contexts")).select("q_id", *(m for m, _ in judging.METRICS))
+
+
 # --- measurements ---
 
 
@@ -340,6 +351,25 @@ def marker_windows(spark, sf):
     return windows.pair_markers(m, ["user_id"], ["ts_us", "event_id"])
 
 
+@query("SELECT 'run/RETRIEVAL/' || user_id::VARCHAR AS name, 'sub_window' AS kind, lag_ts AS start_us, ts_us AS end_us, (ts_us - lag_ts) / 1e6 AS duration_s FROM (SELECT *, lag(mark) OVER w AS lag_mark, lag(ts_us) OVER w AS lag_ts FROM (SELECT user_id, epoch_us(ts)::BIGINT AS ts_us, CASE event_type WHEN 'signup' THEN 'START' ELSE 'END' END AS mark FROM events WHERE event_type IN ('signup', 'purchase')) WINDOW w AS (PARTITION BY user_id ORDER BY ts_us, mark DESC)) WHERE mark = 'END' AND lag_mark = 'START' AND ts_us > lag_ts")
+def marker_log_windows(spark, sf):
+    """Log lines of every signup and purchase, parsed and paired."""
+    mark = F.when(F.col("event_type") == "signup", "START").otherwise("END")
+    e = table(spark, sf, "events").filter(F.col("event_type").isin("signup", "purchase"))
+    lines = e.select(F.concat(F.lit("INFO ##MARK## ts_us="), F.unix_micros(F.col("ts").cast("timestamp")).cast("string"), F.lit(" event=RETRIEVAL_"), mark, F.lit(" q_id="), F.col("user_id").cast("string")).alias("line"))
+    return windows.sub_windows(windows.parse_markers(lines), "run", keyed=True)
+
+
+@query("SELECT ts_us // 86400000000 AS run, 'q' || user_id::VARCHAR AS q_id, metric, value FROM (SELECT epoch_us(ts)::BIGINT AS ts_us, user_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS faithfulness, value * 2 AS answer_relevancy FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0) UNPIVOT (value FOR metric IN (faithfulness, answer_relevancy))")
+def judged_scores(spark, sf):
+    """Judged records, some without a question or without scores."""
+    e = table(spark, sf, "events")
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000)
+    scores = F.struct(F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("faithfulness"), (F.col("value") * 2).alias("answer_relevancy"))
+    q_id = F.when(F.col("event_id") % 7 != 0, F.concat(F.lit("q"), F.col("user_id").cast("string")))
+    return merge.judged_scores(e.select(day.alias("run"), q_id.alias("q_id"), F.when(F.col("event_id") % 11 != 0, scores).alias("metrics")))
+
+
 def _joined(spark, sf, bucket_us=None) -> DataFrame:
     return windows.interval_join(windows.normalise(views.samples(spark, sf)), windows.phases_to_windows(views.phases(spark)), bucket_us)
 

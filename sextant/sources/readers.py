@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import is_blank
 
@@ -44,9 +45,17 @@ def samples_of(raw: DataFrame, data: str = "data") -> DataFrame:
 
 
 def measurements(spark: SparkSession, path: str) -> DataFrame:
+    """(entity, ts_us, metric, value, unit) of a file {"data": [[...], ...]} of any size.
+
+    The text is cut after each array, wherever it stands in the file: records are as small as an entry, and large files
+    are split over tasks. Entries of another length than five are skipped. Strings must not hold "],".
+    """
     if not path.endswith(".json"):
         raise ValueError("measurement files end in .json")
-    return samples_of(spark.read.schema(MEASUREMENTS).option("multiLine", True).json(path))
+    text = r'"(?:[^"\\]|\\.)*+"'
+    entry = F.regexp_extract("value", rf'\[\s*((?:{text}|[^\[\]"\s])(?:{text}|[^\[\]"])*+)', 1)
+    pieces = spark.read.option("lineSep", "],").text(path).select(entry.alias("entry")).filter("entry <> ''")
+    return samples_of(pieces.select(F.array(F.from_json(F.concat(F.lit("["), "entry", F.lit("]")), "array<string>")).alias("data")))
 
 
 def phases(spark: SparkSession, path: str) -> DataFrame:
@@ -56,6 +65,34 @@ def phases(spark: SparkSession, path: str) -> DataFrame:
     return each.select("run", F.col("p.name").alias("name"), F.col("p.start").alias("start_us"), F.col("p.end").alias("end_us"), F.col("p.hidden").alias("hidden"))
 
 
+def log_entries(spark: SparkSession, path: str) -> DataFrame:
+    """(run, container, at, cmd, stdout) of the logs in a phase file, at counting a container's entries."""
+    raw = spark.read.schema(PHASES).option("multiLine", True).json(path).select(F.col("data.id").alias("run"), F.explode("data.logs").alias("container", "entries"))
+    return raw.select("run", "container", F.posexplode("entries").alias("at", "e")).select("run", "container", "at", "e.cmd", "e.stdout")
+
+
+def run_info(spark: SparkSession, path: str) -> DataFrame:
+    """Fields of the run of a phase file, the number of its warnings and the date in front of the file's name (else today's)."""
+    fields = ("id", "name", "uri", "branch", "commit_hash", "filename", "machine_id", "gmt_hash", "created_at", "failed", "start_measurement", "end_measurement", "usage_scenario_variables")
+    schema = "data struct<" + ",".join(f"{f}:{'boolean' if f == 'failed' else 'string'}" for f in fields) + ",warnings:array<string>>"
+    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    return raw.select(*[F.col(f"data.{f}").alias(f) for f in fields], F.size(F.coalesce("data.warnings", F.array())).alias("warnings"), date_prefix(F.input_file_name()).alias("date"))
+
+
+def date_prefix(path: Column) -> Column:
+    """The date before the first underscore of a path's last part; today's where there is none."""
+    name = F.regexp_extract(path, r"([^/]*)$", 1)
+    return F.coalesce(F.date_format(F.try_to_timestamp(F.regexp_extract(name, r"^([0-9]{4}-[0-9]{2}-[0-9]{2})(?:_|$)", 1), F.lit("yyyy-MM-dd")), "yyyy-MM-dd"), F.date_format(F.current_date(), "yyyy-MM-dd"))
+
+
+def run_file(folder: str, run_id: str, kind: str) -> str:
+    """Path of the first file *<run_id>_<kind>.json below folder; raises FileNotFoundError."""
+    found = sorted(str(p) for p in Path(folder).rglob(f"*{run_id}_{kind}.json"))
+    if not found:
+        raise FileNotFoundError(f"no {kind} of run {run_id} below {folder}")
+    return found[0]
+
+
 def runs(spark: SparkSession, folder: str) -> DataFrame:
     """All gzip JSON records below folder, with the file each came from."""
     return spark.read.option("pathGlobFilter", "*.json.gz").option("recursiveFileLookup", True).json(folder).withColumn("file", F.input_file_name())
