@@ -5,7 +5,7 @@ Emitting the whole ball (2,081 variants of 64 bits for radius 4) is exact and ne
 2,081 rows for each fingerprint. The balls are therefore taken on key spaces: the 64 bits are cut in three blocks;
 of at most four differing bits, the two blocks with fewest hold at most two (two thirds of four, rounded down), so
 each fingerprint emits, for each of the three pairs of blocks, all variants of those 42 or 43 bits within one bit:
-132 rows. Collisions are verified on all 64 bits. A variant that more than `run_limit` fingerprints share isn't
+131 rows. Collisions are verified on all 64 bits. A variant that more than `run_limit` fingerprints share isn't
 compared pairwise: its members go through the whole ball of 64 bits, where members of a variant are linked to its
 smallest without any comparison. No link is lost in either way, and exact copies take part once, as one fingerprint.
 """
