@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.blocktypes import block_type
-from ..functions.text import RX_HEADING, is_blank, let, py_strip, split_lines
+from ..functions.text import RX_FIRST, RX_HEADING, RX_HEADING_LINES, RX_TITLE, is_blank, let, py_strip, windows  # noqa: F401
 
 
 def simple(docs: DataFrame, keys: list[str], text: str = "text", size: int = 512, overlap: int = 64) -> DataFrame:
@@ -15,56 +15,61 @@ def simple(docs: DataFrame, keys: list[str], text: str = "text", size: int = 512
     step = max(1, size - overlap)
 
     def cut(t: Column) -> Column:
-        n = F.length(t)
-        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("chunk_start"), F.least(i + size, n).alias("chunk_end"), F.substring(t, i + 1, F.lit(size)).alias("chunk_text")))
+        # the length is a walk over the text: once for each text, not for each window
+        piece = lambda n: lambda w, i: F.struct((i * step).alias("chunk_start"), F.least(i * step + size, n).alias("chunk_end"), w.alias("chunk_text"))
+        return let(F.length(t), lambda n: F.transform(windows(t, size, step), piece(n)))
 
     rows = docs.select(*keys, let(F.col(text), cut).alias("_c")).select(*keys, F.posexplode("_c").alias("chunk_index", "c"))
     return rows.select(*keys, "chunk_index", "c.*").filter(~is_blank(F.col("chunk_text")))
 
 
+def _offsets(lengths: Column, part: int = 256) -> Column:
+    """Sums of the lengths before each; in parts, as an array is copied for each entry that is put to it."""
+    running = lambda a: F.aggregate(a, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda acc, x: acc + x)
+
+    def join(parts: Column) -> Column:
+        shift = lambda p, base: F.transform(F.slice(running(p), 1, F.size(p)), lambda x: x + base)
+        return let(running(F.transform(parts, total)), lambda base: F.flatten(F.transform(parts, lambda p, i: let(F.get(base, i), lambda at: shift(p, at)))))
+
+    cut = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / part).cast("int")), lambda i: F.slice(a, i * part + 1, part))
+    return let(lengths, lambda a: F.when(F.size(a) <= part, F.slice(running(a), 1, F.size(a))).otherwise(let(cut(a), join)))
+
+
+def _split(text: Column, body) -> Column:
+    """body(heads, texts, starts): heading lines, the texts before, between and after them, and where those begin."""
+    heads, texts = F.regexp_extract_all(text, F.lit(RX_HEADING_LINES), F.lit(0)), F.split(text, RX_HEADING_LINES, -1)
+    lengths = lambda hs, ts: F.zip_with(ts, hs, lambda t, h: F.length(t) + F.coalesce(F.length(h), F.lit(0)))
+    return let(heads, lambda hs: let(texts, lambda ts: let(_offsets(lengths(hs, ts)), lambda starts: body(hs, ts, starts))))
+
+
 def headings(text: Column) -> Column:
     """array<struct(start, stop, line)> of heading lines: up to six hashes at the line's start, then white space."""
-    def step(acc: Column, line: Column) -> Column:
-        bare = F.regexp_replace(line, r"[\r\n]+\z", "")
-        end = acc["pos"] + F.length(line)
-        here = F.struct(acc["pos"].alias("start"), end.alias("stop"), bare.alias("line"))
-        return F.struct(end.alias("pos"), F.when(bare.rlike(RX_HEADING), F.array_append(acc["out"], here)).otherwise(acc["out"]).alias("out"))
+    def of(heads: Column, texts: Column, starts: Column) -> Column:
+        line = lambda h: F.regexp_replace(h, r"[\r\n]+\z", "").alias("line")
+        return F.transform(heads, lambda h, i: F.struct((F.get(starts, i + 1) - F.length(h)).alias("start"), F.get(starts, i + 1).alias("stop"), line(h)))
 
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,stop:int,line:string>>").alias("out"))
-    return F.aggregate(split_lines(text), zero, step, lambda acc: acc["out"])
+    return _split(text, of)
 
 
 def document_title(text: Column) -> Column:
     """Rest of the first line with one hash, indented or not; else the first line that isn't blank; else empty."""
-    def pick(lines: Column) -> Column:
-        one = F.filter(lines, lambda x: x.rlike(r"(?sU)^#[\s\x1c-\x1f]+.*\z"))
-        rest = F.regexp_replace(F.try_element_at(one, F.lit(1)), r"(?U)^#[\s\x1c-\x1f]+", "")
-        return F.coalesce(F.when(rest != "", rest), F.try_element_at(F.filter(lines, lambda x: x != ""), F.lit(1)), F.lit(""))
-
-    return let(F.transform(split_lines(text), py_strip), pick)
+    one = F.regexp_extract(text, RX_TITLE, 1)
+    return F.coalesce(py_strip(F.when(one != "", one).otherwise(F.regexp_extract(text, RX_FIRST, 0))), F.lit(""))
 
 
 def blocks(text: Column) -> Column:
     """array<struct(start, stop, hashes, title, text)>: what lies between heading lines; blank blocks are left out."""
-    def of(t: Column, heads: Column) -> Column:
-        def one(i: Column) -> Column:
-            head = F.try_element_at(heads, i)
-            start = F.when(i == 0, 0).otherwise(head["stop"])
-            stop = F.coalesce(F.try_element_at(heads, i + 1)["start"], F.length(t))
-            hashes = F.when(i == 0, 0).otherwise(F.length(F.regexp_extract(head["line"], RX_HEADING, 1)))
-            title = F.when(i == 0, "").otherwise(py_strip(F.regexp_extract(head["line"], RX_HEADING, 2)))
-            return F.struct(start.alias("start"), stop.alias("stop"), hashes.alias("hashes"), title.alias("title"), F.substring(t, start + 1, stop - start).alias("text"))
-
-        # element 0 of the heads doesn't exist: index from 1, with a first entry that is never read
-        return F.filter(F.transform(F.sequence(F.lit(0), F.size(heads)), lambda i: F.when(i == 0, _first(t, heads)).otherwise(one(F.greatest(i, F.lit(1))))), lambda b: ~is_blank(b["text"]))
-
-    return let(text, lambda t: let(headings(t), lambda h: of(t, h)))
+    def of(heads: Column, texts: Column, starts: Column) -> Column:
+        def one(t: Column, i: Column) -> Column:
+            head = F.coalesce(F.get(heads, i - 1), F.lit(""))
+            hashes, title = F.length(F.regexp_extract(head, "^#*", 0)), py_strip(F.regexp_replace(head, "^#+", ""))
+            start = F.get(starts, i)
+            return F.struct(start.alias("start"), (start + F.length(t)).alias("stop"), hashes.alias("hashes"), title.alias("title"), t.alias("text"))
 
+        return F.filter(F.transform(texts, one), lambda b: ~is_blank(b["text"]))
 
-def _first(t: Column, heads: Column) -> Column:
-    stop = F.coalesce(F.try_element_at(heads, F.lit(1))["start"], F.length(t))
-    return F.struct(F.lit(0).alias("start"), stop.alias("stop"), F.lit(0).alias("hashes"), F.lit("").alias("title"), F.substring(t, F.lit(1), stop).alias("text"))
+    return _split(text, of)
 
 
 def structure(docs: DataFrame, keys: list[str], text: str = "text", size: int = 512, overlap: int = 64) -> DataFrame:
@@ -77,20 +82,19 @@ def structure(docs: DataFrame, keys: list[str], text: str = "text", size: int =
     step = size - max(overlap, 0)
 
     def pieces(b: Column) -> Column:
-        n = F.length(b["text"])
-        last = F.when(n <= size, 0).otherwise(F.ceil((n - size) / step).cast("int"))
+        count = lambda n: F.when(n <= size, 1).otherwise(1 + F.ceil((n - size) / step).cast("int"))
 
-        def piece(i: Column) -> Column:
-            start = i * step
-            return F.struct((b["start"] + start).alias("chunk_start"), (b["start"] + F.least(start + size, n)).alias("chunk_end"), F.substring(b["text"], start + 1, F.lit(size)).alias("chunk_text"), b["title"].alias("block_title"), b["hashes"].alias("hashes"))
+        def piece(n: Column, kind: Column):
+            return lambda w, i: F.struct((b["start"] + i * step).alias("chunk_start"), (b["start"] + F.least(i * step + size, n)).alias("chunk_end"), w.alias("chunk_text"), b["title"].alias("block_title"), kind.alias("block_type"))
 
-        return F.transform(F.sequence(F.lit(0), last), piece)
+        every = lambda n, kind: F.transform(F.slice(windows(b["text"], size, step), 1, count(n)), piece(n, kind))
+        return let(b["stop"] - b["start"], lambda n: let(block_type(b["hashes"], b["title"]), lambda kind: every(n, kind)))
 
     every = let(blocks(F.col(text)), lambda bs: F.filter(F.flatten(F.transform(bs, pieces)), lambda c: ~is_blank(c["chunk_text"])))
     # the arrays come first: beside a generator, other columns would be computed for each chunk
     rows = docs.select(*keys, document_title(F.col(text)).alias("doc_title"), every.alias("_c"))
     out = rows.select(*keys, "doc_title", F.posexplode("_c").alias("chunk_index", "c"))
-    return out.select(*keys, "chunk_index", "c.chunk_start", "c.chunk_end", "c.chunk_text", "doc_title", "c.block_title", block_type(F.col("c.hashes"), F.col("c.block_title")).alias("block_type"))
+    return out.select(*keys, "chunk_index", "c.chunk_start", "c.chunk_end", "c.chunk_text", "doc_title", "c.block_title", "c.block_type")
 
 
 def chunk(docs: DataFrame, keys: list[str], strategy: str = "simple", **options) -> DataFrame:
